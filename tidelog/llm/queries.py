@@ -6,27 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, langid, minhash, repeats
+from . import ann, automaton, langid, media, minhash, mixing, packing, quality, repeats, suffixarray, tokens
 from .tables import table
 
 
+def op1_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return media.fingerprints(docs.select("doc_id", media.wav_of("text").alias("wav")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.packed_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draws(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_substring_dedup": op2_substring_dedup,
-    "op6_language_id": op6_language_id,
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_media_fingerprints,
+        op2_substring_dedup,
+        op3_suffix_array_dedup,
+        op4_token_blocks,
+        op5_source_mixing,
+        op6_language_id,
+        op7_quality_ranking,
+        op8_nearest_neighbours,
+        op9_power_of_two_packing,
+        op10_minhash_near_dedup,
+    )
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": repeats.ORACLE,
+    "op3_suffix_array_dedup": repeats.ORACLE,
+    "op5_source_mixing": mixing.ORACLE,
 }
