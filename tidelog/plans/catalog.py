@@ -1,8 +1,8 @@
-"""Every query of the library by name, with its DuckDB restatement where SQL can express it."""
+"""Every query of the library by name, with its DuckDB statement where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .registry import ORACLES, QUERIES
+from . import baseline_queries, scalar_queries  # noqa: F401  (importing registers)
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
