@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import baseline_queries, scalar_queries  # noqa: F401  (importing registers)
+from . import baseline_queries, scalar_queries, sequence_queries  # noqa: F401  (importing registers)
 
 __all__ = ["ORACLES", "QUERIES"]
