@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import analysis_queries, baseline_queries, scalar_queries, sequence_queries, source_queries  # noqa: F401  (importing registers)
+from . import analysis_queries, baseline_queries, scalar_queries, sequence_queries, source_queries, stream_queries  # noqa: F401  (importing registers)
 
 __all__ = ["ORACLES", "QUERIES"]
