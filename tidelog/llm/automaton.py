@@ -83,12 +83,15 @@ class SuffixAutomaton:
         link[q] = clone
         return clone
 
-    def spans(self, words: list[int], doc: int) -> list[tuple[int, int]]:
-        """Unions of the runs of at least LENGTH words that a document before ``doc`` holds."""
+    def windows(self, words: list[int], doc: int) -> list[tuple[int, int]]:
+        """Runs (first, last) of the windows of LENGTH words that a document before ``doc`` holds, by their first words.
+
+        A window is held if the matching statistic at its last word reaches LENGTH.
+        """
         nxt, link, length, owner = self.next, self.link, self.length, self.doc
         state, n = 0, 0
         found: list[tuple[int, int]] = []
-        start, stop = -1, -1
+        first, last = 0, -2
         for i, w in enumerate(words):
             to = nxt[state].get(w)
             if to is None:
@@ -108,25 +111,40 @@ class SuffixAutomaton:
                     at = link[at]
                     m = length[at]
                 if m >= LENGTH:
-                    low = i + 1 - m
-                    if low <= stop:
-                        start, stop = min(start, low), i + 1
-                    else:
-                        if stop > 0:
-                            found.append((start, stop))
-                        start, stop = low, i + 1
-        if stop > 0:
-            found.append((start, stop))
+                    window = i + 1 - LENGTH
+                    if window != last + 1:
+                        if last >= 0:
+                            found.append((first, last))
+                        first = window
+                    last = window
+        if last >= 0:
+            found.append((first, last))
         return found
 
 
-def novel(run: Slice, spans: list[tuple[int, int]]) -> Iterator[np.ndarray]:
-    """The parts of a run with windows that aren't in the automata yet: what is left between spans, with LENGTH - 1 words on either side."""
-    at = 0
-    for start, stop in [*spans, (len(run.words), len(run.words))]:
-        if start > at:
-            yield run.words[max(0, at - LENGTH + 1) : min(len(run.words), start + LENGTH - 1)]
-        at = stop
+def union(runs: list[tuple[int, int]], touch: int = 1) -> list[tuple[int, int]]:
+    """Runs (first, last) joined where they overlap or the next begins at most ``touch`` after the end."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + touch:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def spans_of(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, stop) of words that runs of windows cover."""
+    return [(a, b + LENGTH) for a, b in union(windows, LENGTH)]
+
+
+def novel(words: np.ndarray, held: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """The text of the windows that aren't in ``held`` (runs of windows, joined)."""
+    at, n = 0, len(words) - LENGTH + 1
+    for a, b in [*held, (n, n)]:
+        if a > at:
+            yield words[at : a + LENGTH - 1]
+        at = b + 1
 
 
 def stream(family: Family) -> list[tuple[int, int, int]]:
@@ -139,9 +157,9 @@ def stream(family: Family) -> list[tuple[int, int, int]]:
         fresh = []
         for run in doc_runs[doc]:
             words = run.words.tolist()
-            found = union([s for shard in shards for s in shard.spans(words, doc)])
-            spans += [(doc, run.begin + a, run.begin + b) for a, b in found]
-            fresh += novel(run, found)
+            held = union([s for shard in shards for s in shard.windows(words, doc)])
+            spans += [(doc, run.begin + a, run.begin + b) for a, b in spans_of(held)]
+            fresh += novel(run.words, held)
         for part in fresh:
             if not shards or shards[-1].words + len(part) > SHARD_WORDS:
                 shards.append(SuffixAutomaton())
@@ -149,16 +167,6 @@ def stream(family: Family) -> list[tuple[int, int, int]]:
     return spans
 
 
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def _stream(families: Iterator[Family]) -> Iterator[tuple[Family, list[tuple[int, int, int]]]]:
     for family in families:
         yield family, stream(family)
@@ -193,7 +201,7 @@ def _by_broadcast(docs: DataFrame, reference: DataFrame) -> DataFrame:
             for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if key in order:
                     text = hashes[words.first[i] : words.first[i + 1]].tolist()
-                    out += [(*key, a, b) for a, b in union([s for shard in shards for s in shard.spans(text, order[key])])]
+                    out += [(*key, a, b) for a, b in spans_of([s for shard in shards for s in shard.windows(text, order[key])])]
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "text_hash", "start", "stop"])
