@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .sampling import bounded
 
 HIDDEN, WINDOW, SAMPLE, MIN_CONFIDENCE = 8, 256, 2000, 0.3
 TRAIN_WINDOW, TRAIN_LANES, TRAIN_STEPS, RATE = 48, 192, 120, 0.03
@@ -180,8 +181,9 @@ def _gradients(params: list[np.ndarray], codes: np.ndarray, label: np.ndarray) -
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Train on at most ``sample`` labelled rows, chosen by a hash of their doc_id."""
-    labelled = docs.where("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    labelled = docs.where("lang is not null").select("doc_id", "text", "lang")
+    rows = bounded(labelled, sample, "doc_id").where("length(text) > 0").collect()
+    rows = rows or labelled.where("length(text) > 0").limit(sample).collect()  # ids that repeat may all hash over the cut
     return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 

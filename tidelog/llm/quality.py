@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .sampling import bounded
 from .scratch import written
 
 FEATURES = ("log_words", "mean_word", "upper", "digit", "symbol", "mark", "stop", "repeat_word", "distinct", "repeat_line", "short_word", "long_word")
@@ -122,7 +123,8 @@ def train(x: np.ndarray, good: np.ndarray, seed: int = 11) -> Model | None:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Train on at most ``sample`` labelled documents."""
-    chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    chosen = bounded(chosen, sample, "doc_id")
     rows = docs.where("text is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
