@@ -55,4 +55,7 @@ def format_priority(line: Column) -> Column:
 
 
 def format_name(priority: Column) -> Column:
-    return F.coalesce(F.element_at(F.array(*[F.lit(n) for n, _ in FORMATS]), priority + 1), F.lit("unknown"))
+    out = F.when(priority.isNull(), "unknown")
+    for i, (name, _) in enumerate(FORMATS):
+        out = out.when(priority == i, name)
+    return out

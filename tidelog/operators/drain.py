@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WILD = "<*>"
 
@@ -100,7 +101,7 @@ def mine(log: DataFrame, params: DrainParams = DrainParams(), state: DataFrame |
     """
     known = [(r.cluster_id, list(r.tokens), r.size) for r in state.collect()] if state is not None else None
     rows = log.drop("template_id", "template").withColumn("__source", F.col(source) if source else F.lit(""))
-    schema = rows.withColumns({"template_id": F.lit("").cast("string"), "template": F.lit("").cast("string")}).drop("__source").schema
+    schema = T.StructType([*log.drop("template_id", "template").schema.fields, T.StructField("template_id", T.StringType()), T.StructField("template", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, miner = None, Miner(params, known)

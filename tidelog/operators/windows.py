@@ -49,8 +49,8 @@ def neighbourhood(pos: str) -> W:
 def in_windows(positioned: DataFrame, size: int = 50, stride: int = 25) -> DataFrame:
     """Each row once per window that holds it (``window_idx``): windows start at every ``stride``, tails are kept."""
     p = F.col("pos")
-    first = F.greatest(F.lit(0), F.floor((p - size) / stride) + 1)
-    return positioned.withColumn("window_idx", F.explode(F.sequence(first, F.floor(p / stride))))
+    first, last = F.greatest(F.lit(0), F.floor((p - size) / stride) + 1), F.floor(p / stride)
+    return positioned.withColumn("window_idx", F.explode(F.when(first <= last, F.sequence(first, last))))
 
 
 def template_codes(log: DataFrame, column: str = "template_id") -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import masking, parsing, predicates, similarity
@@ -212,27 +212,30 @@ def _files(spark: SparkSession, sf: str) -> str:
 
 
 _NUMBERED = f"WITH {SHAPED}, n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY line_no) - 1 AS n FROM shaped)"
-_HOST = F.regexp_extract("path", "host=(h[0-9]+)", 1)
+
+
+def _host(column: str = "path") -> Column:
+    return F.regexp_extract(column, "host=(h[0-9]+)", 1).alias("host")
 
 
 @query("s1_text_scan", f"{_NUMBERED} SELECT host, n AS line_no, value FROM n")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.read_lines(spark, _files(spark, sf)).select(_HOST.alias("host"), "line_no", "value")
+    return logs.read_lines(spark, _files(spark, sf)).select(_host(), "line_no", "value")
 
 
 @query("s5_log_discovery", f"{_NUMBERED} SELECT host, CAST(sum(strlen(value) + 1) AS BIGINT) AS length FROM n GROUP BY host")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.discover(spark, _files(spark, sf)).select(_HOST.alias("host"), "length")
+    return logs.discover(spark, _files(spark, sf)).select(_host(), "length")
 
 
 @query("s6_capped_discovery", f"{_NUMBERED} SELECT host, CAST(sum(strlen(value) + 1) AS BIGINT) AS length FROM n GROUP BY host ORDER BY length DESC, host LIMIT 3")
 def s6(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.discover(spark, _files(spark, sf), logs.SHELL_GLOBS, limit=3).select(_HOST.alias("host"), "length")
+    return logs.discover(spark, _files(spark, sf), logs.SHELL_GLOBS, limit=3).select(_host(), "length")
 
 
 @query("s7_concatenated_logs", f"{_NUMBERED} SELECT host, row_number() OVER (ORDER BY host, n) - 1 AS line_no, value FROM n")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.concatenated(logs.read_lines(spark, _files(spark, sf))).select(F.regexp_extract("source", "host=(h[0-9]+)", 1).alias("host"), "line_no", "value")
+    return logs.concatenated(logs.read_lines(spark, _files(spark, sf))).select(_host("source"), "line_no", "value")
 
 
 @query("s8_merged_sources", f"WITH {LOGS} SELECT CASE WHEN line_no % 2 = 0 THEN 'even' ELSE 'odd' END AS source, line_no, raw FROM logs")
@@ -243,7 +246,7 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s9_format_sniff", f"{_NUMBERED} SELECT host, CASE WHEN bool_or(n < 10 AND line_no % 3 = 0) THEN 'syslog' ELSE 'generic' END AS format, count(*) AS total_lines FROM n GROUP BY host")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.sniff(logs.read_lines(spark, _files(spark, sf))).select(_HOST.alias("host"), "format", "total_lines")
+    return logs.sniff(logs.read_lines(spark, _files(spark, sf))).select(_host(), "format", "total_lines")
 
 
 @query("s3_json_dictionary", f"WITH {WINDOWED} SELECT template_id AS template, code AS index FROM codes")
@@ -268,4 +271,4 @@ def s15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f27_file_hashes", f"{_NUMBERED}, c AS (SELECT host, string_agg(value || chr(10), '' ORDER BY n) AS content FROM n GROUP BY host) SELECT host, sha256(content) AS sha256 FROM c")
 def f27(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.file_hashes(spark, _files(spark, sf)).where("path like '%host=%'").select(_HOST.alias("host"), "sha256")
+    return logs.file_hashes(spark, _files(spark, sf)).where("path like '%host=%'").select(_host(), "sha256")
