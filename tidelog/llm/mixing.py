@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
 ENTROPY, REPEAT_LIMIT, BUDGET_RATIO, BLOCK_TOKENS, ROUNDS = 0.95, 4.0, 1.0, 1 << 16, 50
 #: Block rows that are broadcast at most; beyond, documents and blocks are joined by shuffling.
 BROADCAST_BLOCKS = 200_000
@@ -87,18 +89,25 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def mixed(docs: DataFrame, budget_ratio: float = BUDGET_RATIO) -> DataFrame:
-    """Rows of ``docs`` as often as they are drawn, with ``epoch``, ``block`` and ``block_order``."""
-    spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("epoch", "block", "block_order")]
+def counted(docs: DataFrame) -> DataFrame:
+    """(__key, __id, __source, __n) of each row: its source, its id as text, and its words."""
     key = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
-    keyed = docs.select(*kept, key.alias("__key"), n_tokens().alias("__n"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id")).where("__n > 0")
-    totals = {r["__key"]: r["n"] for r in keyed.groupBy("__key").agg(F.sum("__n").alias("n")).collect()}
-    rows = plan(totals, budget_ratio)
-    sources = spark.createDataFrame(rows, PLAN)
-    sources = F.broadcast(sources) if len(rows) <= BROADCAST_BLOCKS else sources
-    placed = keyed.join(sources, "__key").withColumn("block", _number(F.concat(F.lit("block:"), "__id")) % F.col("__blocks"))
-    sizes = placed.groupBy("__key", "block", "__epochs", "__rest", "__total").agg(F.sum("__n").alias("__size"))
+    return docs.select(key.alias("__key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), n_tokens().alias("__n"), F.col("doc_id").cast("long").alias("doc_id"), "source")
+
+
+def drawn(rows: DataFrame, counts: DataFrame, n: Column, kept: list[str], budget_ratio: float) -> DataFrame:
+    """``kept`` columns of ``rows`` (__key, __id, __full, ...) as often as they are drawn, with epoch, block and block_order.
+
+    ``counts`` (__key, __id, __n) is the same table by its numbers of words; ``n`` gives that number for a row, and is only
+    evaluated in the blocks that are drawn in part.
+    """
+    spark = rows.sparkSession
+    totals = {r["__key"]: r["n"] for r in counts.where("__n > 0").groupBy("__key").agg(F.sum("__n").alias("n")).collect()}
+    table = plan(totals, budget_ratio)
+    sources = spark.createDataFrame(table, PLAN)
+    sources = F.broadcast(sources) if len(table) <= BROADCAST_BLOCKS else sources
+    block = _number(F.concat(F.lit("block:"), "__id")) % F.col("__blocks")
+    sizes = counts.where("__n > 0").join(sources, "__key").withColumn("block", block).groupBy("__key", "block", "__epochs", "__rest", "__total").agg(F.sum("__n").alias("__size"))
     every = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "__epochs")))
     by = W.partitionBy("__key", "epoch").orderBy(F.md5(F.concat_ws(":", F.lit("epoch"), "epoch", "__key", "block")), "block")
     ordered = every.select(
@@ -109,19 +118,31 @@ def mixed(docs: DataFrame, budget_ratio: float = BUDGET_RATIO) -> DataFrame:
         (F.when(F.col("epoch") < F.col("__epochs"), F.col("__total")).otherwise(F.col("__rest")) - F.sum("__size").over(by) + F.col("__size")).alias("__left"),
         "__size",
     ).where("__left > 0")
-    several = sum(r[1] * (r[2] + 1) for r in rows) <= BROADCAST_BLOCKS
-    drawn = placed.join(F.broadcast(ordered) if several else ordered, ["__key", "block"])
+    few = sum(r[1] * (r[2] + 1) for r in table) <= BROADCAST_BLOCKS
+    placed = rows.where("__full").join(sources.select("__key", "__blocks"), "__key").withColumn("block", block)
+    got = placed.join(F.broadcast(ordered) if few else ordered, ["__key", "block"])
     columns = [*kept, "epoch", "block", "block_order"]
-    whole = drawn.where("__size <= __left").select(*columns)
+    whole = got.where("__size <= __left").select(*columns)
     inside = W.partitionBy("__key", "epoch", "block").orderBy(F.md5(F.concat_ws(":", F.lit("doc"), "epoch", "__id")), "__id", "__n")
-    part = drawn.where("__size > __left").withColumn("__sum", F.sum("__n").over(inside.rowsBetween(W.unboundedPreceding, 0))).where("__sum <= __left").select(*columns)
-    return whole.unionByName(part)
+    part = got.where("__size > __left").withColumn("__n", n).withColumn("__sum", F.sum("__n").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return whole.unionByName(part.where("__sum <= __left").select(*columns))
+
+
+def mixed(docs: DataFrame, budget_ratio: float = BUDGET_RATIO) -> DataFrame:
+    """Rows of ``docs`` as often as they are drawn, with ``epoch``, ``block`` and ``block_order``.  Words are counted once; texts are not moved."""
+    kept = [c for c in docs.columns if c not in ("epoch", "block", "block_order")]
+    counts = written(counted(docs).select("__key", "__id", "__n"), "counts")
+    key = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
+    full = F.coalesce(F.col("text").rlike("[^\\x09-\\x0d ]"), F.lit(False))
+    rows = docs.select(*kept, key.alias("__key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), full.alias("__full"))
+    return drawn(rows, counts, n_tokens(), kept, budget_ratio)
 
 
-def draws(docs: DataFrame) -> DataFrame:
+def draws(docs: DataFrame, budget_ratio: float = BUDGET_RATIO) -> DataFrame:
     """(doc_id, source, epoch, block, block_order, n_tokens) of every draw."""
-    slim = docs.select("doc_id", "source", "text")
-    return mixed(slim).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "epoch", "block", "block_order", n_tokens().alias("n_tokens"))
+    counts = written(counted(docs), "counts")
+    rows = counts.select("*", F.col("__n").alias("n_tokens"), (F.col("__n") > 0).alias("__full")).drop("__n")
+    return drawn(rows, counts, F.col("n_tokens"), ["doc_id", "source", "n_tokens"], budget_ratio).select("doc_id", "source", "epoch", "block", "block_order", "n_tokens")
 
 
 ORACLE = f"""
