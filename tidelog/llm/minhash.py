@@ -28,6 +28,7 @@ from . import text as tx
 from .scratch import written
 
 BINS, BANDS, SHINGLE, THRESHOLD = 128, 32, 2, 0.5
+BROADCAST_IDS = 1 << 21
 EMPTY = np.uint32(0xFFFFFFFF)
 ORDERS = np.stack([np.random.default_rng(1000 + k).permutation(BINS) for k in range(BINS)])
 
@@ -158,6 +159,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that :func:`near_duplicates` names; all columns stay."""
-    gone = near_duplicates(docs).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """``docs`` without the documents that :func:`near_duplicates` names; all columns stay.
+
+    Up to ``BROADCAST_IDS`` ids (counted first) are broadcast, so that texts stay where they are; more are joined by shuffling.
+    """
+    gone = written(near_duplicates(docs).select(F.col("doc_id").alias("__gone")), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -26,8 +26,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .scratch import written
 
 LENGTH, GRAM = 50, 10
+BROADCAST_CUTS = 1 << 20
 SPANS = "doc_id long, text_hash long, start int, stop int"
 
 
@@ -226,8 +228,13 @@ def result(spans: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the words of ``spans``; ``n_chars``, if there, is counted anew.  All rows and columns stay."""
+    """``docs`` without the words of ``spans``; ``n_chars``, if there, is counted anew.  All rows and columns stay.
+
+    The spans of up to ``BROADCAST_CUTS`` spans (counted first) are broadcast, so that texts stay where they are; more are joined by shuffling.
+    """
+    spans = written(spans, "spans")
     cuts = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
+    cuts = F.broadcast(cuts) if spans.count() <= BROADCAST_CUTS else cuts
     on: Column = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
     joined = docs.join(cuts, on, "left").drop("__id", "__hash")
     at = docs.columns.index("text")
