@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, samples
+from ..operators import autoencoder, evaluate, samples
 from ..operators import reconstruction as recon
 from ..operators import windows as win
 from ..sources import logs
@@ -337,3 +337,14 @@ def g1_region(spark: SparkSession, sf: str) -> DataFrame:
 @query("g1_error_histogram", f"WITH {ERRORS}, e AS (SELECT min(reconstruction_error) AS lo, max(reconstruction_error) AS hi FROM errs) SELECT CAST(least(floor((reconstruction_error - lo) / (hi - lo) * 7), 6) AS BIGINT) AS bin, count(*) AS n FROM errs, e GROUP BY ALL")
 def g1_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return samples.histogram(errors(spark, sf), "reconstruction_error", 7)
+
+
+@query("m1_m4_autoencoder")
+def m1(spark: SparkSession, sf: str) -> DataFrame:
+    """The convolutional network itself: trained on the first sequences, thresholds from the last fifth, all sequences scored."""
+    cells = zscores(spark, sf).groupBy("window_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("code", "z"))), lambda x: x["z"]).alias("v"))
+    steps = win.window_sequences(cells, 20)
+    model, _ = autoencoder.train(steps, autoencoder.AutoencoderParams(epochs=1, sample=200))
+    errors = autoencoder.errors(steps, model)
+    stats = recon.threshold_stats(recon.split(errors)[1])
+    return recon.detect(errors, win.window_starts(windowed(spark, sf)), stats)

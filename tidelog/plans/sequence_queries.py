@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lstm
 from ..operators import sequence as seq
 from ..operators import windows as win
 from ..sources.adapters import events_log
@@ -125,3 +126,13 @@ def d10_alerts(spark: SparkSession, sf: str) -> DataFrame:
 @query("d10_enhanced_summary")
 def d10_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _enhanced(spark, sf)[2]
+
+
+@query("d1_lstm_top_k")
+def d1(spark: SparkSession, sf: str) -> DataFrame:
+    """The recurrent network itself, trained on at most 3000 pairs."""
+    log = events_log(spark, sf)
+    words = win.vocabulary(log)
+    p = win.contexts(win.encode(log, words), 50)
+    model = lstm.train(p, words.count(), lstm.LSTMParams(embedding=16, hidden=32, epochs=1, sample=3000))
+    return lstm.infer_top_k(p, model, 3)
