@@ -206,7 +206,7 @@ def _by_broadcast(docs: DataFrame, reference: DataFrame) -> DataFrame:
                 columns = list(zip(*out, strict=True))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "text_hash", "start", "stop"])
 
-    return repeats.keyed(docs).mapInArrow(run, repeats.SPANS).distinct()
+    return tx.map_batches(repeats.keyed(docs), run, repeats.SPANS).distinct()
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -215,8 +215,8 @@ def spans(docs: DataFrame) -> DataFrame:
     size = cut.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0)).alias("n")).first().n
     placed = cut.repartition("family_id", "family_hash").sortWithinPartitions("family_id", "family_hash", "doc_id", "text_hash")
     if size <= BROADCAST_WORDS:
-        return _by_broadcast(docs, placed.mapInArrow(_windows, "doc_id long, text_hash long, words binary"))
-    return repeats.merged(placed.mapInArrow(repeats.matcher(_stream), repeats.SPANS))
+        return _by_broadcast(docs, tx.map_batches(placed, _windows, "doc_id long, text_hash long, words binary"))
+    return repeats.merged(tx.map_batches(placed, repeats.matcher(_stream), repeats.SPANS))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in tx.batches_of(batches, 1):
             yield pa.record_batch([batch.column(0), *judge(model, batch.column(1))], names=["doc_id", "lang_pred", "confidence", "accepted", "probabilities", "position_labels"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return tx.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def keep_accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -228,4 +228,4 @@ def keep_accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in tx.batches_of(batches, at):
             yield batch.filter(judge(model, batch.column(at))[2])
 
-    return docs.mapInArrow(run, docs.schema)
+    return tx.map_batches(docs, run, docs.schema)

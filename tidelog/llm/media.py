@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
+
 FRAME, HOP, REACH_TIME, REACH_BIN, FLOOR, FAN, SPAN = 512, 256, 3, 7, 1.5, 3, 32
 RATE = 8000
 CHUNK_FRAMES = 1024
@@ -150,4 +152,4 @@ def fingerprints(media: DataFrame, id_column: str = "doc_id", wav_column: str =
                 columns = [part.column(0), *(pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(7))]
                 yield pa.record_batch(columns, schema=schema)
 
-    return media.select(F.col(id_column).cast("long").alias("id"), F.col(wav_column).alias("wav")).mapInArrow(run, SCHEMA).withColumnRenamed("id", id_column)
+    return tx.map_batches(media.select(F.col(id_column).cast("long").alias("id"), F.col(wav_column).alias("wav")), run, SCHEMA).withColumnRenamed("id", id_column)

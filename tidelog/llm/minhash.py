@@ -150,11 +150,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id): every document that repeats another, with the smallest doc_id of its group, which stays."""
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    signed = written(source.mapInArrow(_sign, "id long, bands array<long>, sig binary"), "signatures")
+    signed = written(tx.map_batches(source, _sign, "id long, bands array<long>, sig binary"), "signatures")
     edges = candidate_edges(signed)
     sig = signed.select("id", "sig")
     pairs = edges.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    near = pairs.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long").distinct()
+    near = tx.map_batches(pairs.select("a", "b", "sa", "sb"), _agreement, "a long, b long").distinct()
     return components(near).where("label < id").select(F.col("id").alias("doc_id"), F.col("label").alias("keep_id"))
 
 

@@ -61,7 +61,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, longest: int = LONGEST
                 names=["bucket", "doc_id", "piece", "start", "length", "tokens"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return tx.map_batches(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, SCHEMA)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

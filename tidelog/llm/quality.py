@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
             x = features(batch.column(1))
             yield pa.record_batch([batch.column(0), batch.column(2), tx.list_array(x.ravel(), np.full(len(x), len(FEATURES)))], names=["doc_id", "quality", "x"])
 
-    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality", "x").collect()
+    got = tx.map_batches(rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")), run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality", "x").collect()
     return train(np.array([r.x for r in got]), np.array([r.quality for r in got]) > 0) if got else None
 
 
@@ -145,7 +145,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             empty = np.diff(tx.text_buffer(column)[1]) == 0
             yield pa.record_batch([batch.column(0), pa.array(np.round(model.score(features(column)) / GRID) * GRID + 0.0, mask=empty)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return tx.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def threshold(scored: DataFrame, quantile: float = QUANTILE) -> float | None:
@@ -179,4 +179,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sa
             full = np.diff(tx.text_buffer(column)[1]) > 0
             yield batch.filter(pa.array(full & (np.round(model.score(features(column)) / GRID) * GRID >= limit)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return tx.map_batches(docs, run, docs.schema)

@@ -84,7 +84,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, family_id, family_hash, low, high) of every anchor that lies in several documents."""
-    rows = keyed(docs).mapInArrow(_anchor_rows, "anchor long, doc_id long, text_hash long, low int, high int")
+    rows = tx.map_batches(keyed(docs), _anchor_rows, "anchor long, doc_id long, text_hash long, low int, high int")
     key = F.struct("doc_id", "text_hash")
     at = W.partitionBy("anchor")
     known = rows.select("*", F.min(key).over(at).alias("family"), F.max(key).over(at).alias("last"))
@@ -137,7 +137,7 @@ def families(docs: DataFrame, found: DataFrame) -> DataFrame:
     per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(anchor).alias("anchors"))
     once = keyed(docs)
     cut = once.join(per_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "anchors")
-    return cut.mapInArrow(_cut, "family_id long, family_hash long, doc_id long, text_hash long, begin array<int>, size array<int>, words binary")
+    return tx.map_batches(cut, _cut, "family_id long, family_hash long, doc_id long, text_hash long, begin array<int>, size array<int>, words binary")
 
 
 @dataclass
@@ -257,7 +257,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 column = pa.array(texts, column.type)
             yield pa.record_batch([column if j == at else batch.column(j) for j in range(batch.num_columns - 1)], schema=pa.schema([batch.schema.field(j) for j in range(batch.num_columns - 1)]))
 
-    clean = joined.mapInArrow(run, docs.schema)
+    clean = tx.map_batches(joined, run, docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 

@@ -203,7 +203,7 @@ def _sort(families: Iterator[Family]) -> Iterator[tuple[Family, list[tuple[int,
 def spans(docs: DataFrame) -> DataFrame:
     cut = repeats.families(docs, repeats.repeated_anchors(docs))
     placed = cut.repartition("family_id", "family_hash").sortWithinPartitions("family_id", "family_hash", "doc_id", "text_hash")
-    return repeats.merged(placed.mapInArrow(repeats.matcher(_sort), repeats.SPANS))
+    return repeats.merged(tx.map_batches(placed, repeats.matcher(_sort), repeats.SPANS))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ worker does not depend on the size of an Arrow batch (a single longer text is a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
@@ -76,6 +78,18 @@ def batches_of(batches: Iterator[pa.RecordBatch], text: int | str, limit: int =
             yield batch.slice(low, high - low)
 
 
+#: rows and bytes of an Arrow batch at most: a worker and its executor hold several at a time
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` over batches of bounded size (a setting of the session)."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 class Words:
     """Words of a slice: byte ``start``/``end`` of each, and ``first[d]``, the number of the first word of row d."""
 

@@ -127,4 +127,4 @@ def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 columns = [pa.compute.if_else(null, pa.scalar(None, c.type), c) for c in columns]
             yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "n_tokens", "payload", "block_starts"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return tx.map_batches(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, SCHEMA)
