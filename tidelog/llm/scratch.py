@@ -30,9 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what ``written`` has stored; only when no frame that reads it is still needed."""
+def count() -> int:
+    """Tables that are stored now."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, keep: int = 0, after: int = 0) -> None:
+    """Delete what ``written`` has stored, but for the first ``after`` and the last ``keep`` tables; only when no frame that
+    reads it is still needed."""
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[after : len(_written) - keep]
+    del _written[after : len(_written) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
