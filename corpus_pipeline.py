@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next.
+
+    Once a stage's result is written, the tables that it was made from are deleted; tables of other operators that ran before stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), scratch.count()
     for name, stage in STAGES[:-1]:
         docs = scratch.written(stage(spark, docs, sf_dir), name)
+        scratch.clear(spark, keep=1, after=before)
     return STAGES[-1][1](spark, docs, sf_dir)
