@@ -273,6 +273,28 @@ def test_network_learns_held_out_languages():
     assert all(len(lab) == len(t.encode()) for lab, t in zip(labels, texts))
 
 
+def test_junk_and_untrained_languages_are_rejected_and_clean_texts_stay():
+    rng = np.random.default_rng(5)
+    other = [" ".join("".join(rng.choice(["zka", "wy", "prz", "ów"], 2)) for _ in range(40)) for _ in range(20)]
+    letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)) for _ in range(20)]
+    junk = ["12345", "3.14 -2 007 " * 30, "@@## $$ %%% ^^& ***", "   \n\t ", "-", "★☆★☆ ★★☆☆"]
+    clean = languages(150, seed=3)
+    for names in (["aa"], ["aa", "bb"], ["aa", "bb", "cc"]):
+        known = [(t, g) for t, g in zip(*languages(300)) if g in names]
+        model = langid.train([t for t, _ in known], [g for _, g in known])
+        accepted = lambda texts: np.array(langid.judge(model, pa.array(texts))[2].to_pylist())  # noqa: B023, E731
+        mine = [t for t, g in zip(*clean) if g in names]
+        assert accepted(mine).mean() >= 0.98
+        assert not accepted(junk).any() and not accepted(letters).any() and not accepted(other).any()
+        rest = [t for t, g in zip(*clean) if g not in names]
+        assert not rest or not accepted(rest).any()
+
+
+def test_undecided_margin():
+    assert langid.undecided(np.array([0.5, 0.1, 0.9, 0.2]), np.array([True, False, True, True])) == 0.2
+    assert langid.undecided(np.array([0.5, 0.9]), np.array([True, True])) == 0.0
+
+
 def test_gradients_match_finite_differences():
     rng = np.random.default_rng(0)
     h, c = langid.HIDDEN, 3
