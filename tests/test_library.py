@@ -173,6 +173,22 @@ def test_novelty_and_compat(spark):
     assert detail.where("prediction_ok").count() == detail.count()
 
 
+def test_verdicts_read_every_successor(spark):
+    """25 templates follow "a" equally often, so 15 of them rank past the tenth."""
+    names = [x for i in range(25) for x in ("a", f"t{i:02}")] * 2
+    log = log_of(spark, names, list(range(len(names))))
+    words = spark.createDataFrame([("a", 0), *[(f"t{i:02}", i + 1) for i in range(25)]], "template string, index long")
+    p = win.contexts(win.encode(log, words), 4, keep=2)
+    model = seq.train(p)
+    got = seq.infer_top_p(p, model, 0.99).where("target > 0").collect()
+    assert len(got) == 48 and sum(r.in_topk for r in got) >= 46
+    best = seq.predictions(model, 20).where("c1 = 0").first().predicted
+    assert len(set(best)) == 20
+    assert seq.infer_top_p(p, model, 1.1).where("not in_topk").count() == 0
+    detail = seq.infer_enhanced(log, words, model, seq.AlertConfig(top_p=1.1), length=4)[0]
+    assert detail.where("not prediction_ok").count() == 0
+
+
 def test_padding_of_missing_predictions(spark):
     log = log_of(spark, ["a", "b"] * 10)
     words = spark.createDataFrame([("a", 0), ("b", 1)], "template string, index long")

@@ -37,8 +37,8 @@ def session_id(entity: Column, number: Column) -> Column:
     return F.substring(F.md5(F.concat(entity, F.lit(":"), number.cast("string"))), 1, 8)
 
 
-def train(pairs: DataFrame, keep: int = 10) -> DataFrame:
-    """(order, c1, c2, next, cnt, prob, rank): the ``keep`` most frequent successors of every context of order 2, 1 and 0.
+def train(pairs: DataFrame) -> DataFrame:
+    """(order, c1, c2, next, cnt, prob, rank): every successor of every context of order 2, 1 and 0, the most frequent first.
 
     ``pairs`` as from ``windows.contexts``.  Ties go to the lower index.  prob is the share among all successors of the context.
     """
@@ -52,8 +52,7 @@ def train(pairs: DataFrame, keep: int = 10) -> DataFrame:
     orders = [df.select(F.lit(o).alias("order"), "c2", "c1", "next", "cnt") for o, df in ((2, two), (1, one), (0, zero))]
     every = orders[0].unionByName(orders[1]).unionByName(orders[2])
     by = W.partitionBy("order", "c2", "c1")
-    ranked = every.withColumn("prob", F.col("cnt") / F.sum("cnt").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("cnt"), "next")))
-    return ranked.where(F.col("rank") <= keep)
+    return every.withColumn("prob", F.col("cnt") / F.sum("cnt").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("cnt"), "next")))
 
 
 def predictions(model: DataFrame, k: int) -> DataFrame:

@@ -41,7 +41,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d2_successor_counts", f"WITH {PAIRS} SELECT c1, next, cnt, round(prob, 7) AS prob, rank FROM r1 WHERE rank <= 10")
 def d2(spark: SparkSession, sf: str) -> DataFrame:
-    return seq.train(pairs(spark, sf)).where("order = 1").select("c1", "next", "cnt", F.round("prob", 7).alias("prob"), F.col("rank").cast("long").alias("rank"))
+    return seq.train(pairs(spark, sf)).where("order = 1 and rank <= 10").select("c1", "next", "cnt", F.round("prob", 7).alias("prob"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("d3_top_k", f"WITH {TOPK} SELECT pos - 50 AS idx, line_no, target, in_topk, predicted[1] AS predicted_top1, predicted[2] AS predicted_top2, predicted[3] AS predicted_top3 FROM verdict")
@@ -57,7 +57,7 @@ def d3(spark: SparkSession, sf: str) -> DataFrame:
 )
 def d4(spark: SparkSession, sf: str) -> DataFrame:
     p = pairs(spark, sf)
-    return seq.infer_top_p(p, seq.train(p, keep=1000), 0.4).select("idx", "line_no", "target", "in_topk")
+    return seq.infer_top_p(p, seq.train(p), 0.4).select("idx", "line_no", "target", "in_topk")
 
 
 @query("d5_novelty", f"WITH {WINDOWED} SELECT line_no, host, template_id FROM coded WHERE code % 7 = 3")
@@ -95,11 +95,11 @@ def d8(spark: SparkSession, sf: str) -> DataFrame:
     return seq.cooled(rows.select("line_no", "timestamp", "host", "signature"), F.lit(3600.0)).select("line_no", "host")
 
 
-def _enhanced(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _enhanced(spark: SparkSession, sf: str, top_p: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     log = events_log(spark, sf)
     words = win.vocabulary(log).where("index % 7 <> 3")
     p = win.contexts(win.encode(log, words), 50, keep=2)
-    config = seq.AlertConfig(session_timeout=86400.0, cooldown_sequence=3600.0, cooldown_novelty=3600.0)
+    config = seq.AlertConfig(top_p=top_p, session_timeout=86400.0, cooldown_sequence=3600.0, cooldown_novelty=3600.0)
     return seq.infer_enhanced(log, words, seq.train(p), config)
 
 
@@ -118,6 +118,11 @@ def d10_detail(spark: SparkSession, sf: str) -> DataFrame:
     return _enhanced(spark, sf)[0].drop("recent_failures")
 
 
+@query("d10_enhanced_detail_top_p")
+def d10_detail_top_p(spark: SparkSession, sf: str) -> DataFrame:
+    return _enhanced(spark, sf, 0.9)[0].drop("recent_failures")
+
+
 @query("d10_enhanced_alerts")
 def d10_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _enhanced(spark, sf)[1]
