@@ -59,6 +59,26 @@ def test_autoencoder_gradients():
     assert worst < 1e-5
 
 
+def test_autoencoder_samples_all_windows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ae.Autoencoder, "fit", lambda self, x: seen.append(x[:, 0, 0, 0].astype(int)) or {})
+    rows = [(i, [[float(i)]]) for i in range(400)]
+    ae.train(spark.createDataFrame(rows, "window_idx long, steps array<array<double>>"), ae.AutoencoderParams(sample=100))
+    assert len(seen[0]) == 100 and list(seen[0]) == sorted(seen[0]) and seen[0].min() < 40 and seen[0].max() >= 360
+
+
+def test_queries_train_with_the_default_parameters(spark, sf, monkeypatch):
+    from tidelog.plans import catalog
+
+    asked = []
+    real_ae, real_lstm = ae.Autoencoder.__init__, lstm.LSTM.__init__
+    monkeypatch.setattr(ae.Autoencoder, "__init__", lambda self, params=ae.AutoencoderParams(): asked.append(params) or real_ae(self, params))
+    monkeypatch.setattr(lstm.LSTM, "__init__", lambda self, n, p: asked.append(p) or real_lstm(self, n, p))
+    for name in ("m1_m4_autoencoder", "d1_lstm_top_k"):
+        catalog.QUERIES[name](spark, sf)
+    assert asked == [ae.AutoencoderParams(), lstm.LSTMParams()]
+
+
 def test_autoencoder_tells_odd_windows(spark):
     rng = np.random.default_rng(0)
     base = np.sin(np.arange(20)[:, None] / 3 + np.arange(8)[None] / 2)

@@ -341,10 +341,10 @@ def g1_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m1_m4_autoencoder")
 def m1(spark: SparkSession, sf: str) -> DataFrame:
-    """The convolutional network itself: trained on the first sequences, thresholds from the last fifth, all sequences scored."""
+    """The convolutional network itself: trained with the default parameters, thresholds from the last fifth, all sequences scored."""
     cells = zscores(spark, sf).groupBy("window_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("code", "z"))), lambda x: x["z"]).alias("v"))
     steps = win.window_sequences(cells, 20)
-    model, _ = autoencoder.train(steps, autoencoder.AutoencoderParams(epochs=1, sample=200))
+    model, _ = autoencoder.train(steps)
     errors = autoencoder.errors(steps, model)
     stats = recon.threshold_stats(recon.split(errors)[1])
     return recon.detect(errors, win.window_starts(windowed(spark, sf)), stats)

@@ -135,9 +135,9 @@ def d10_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d1_lstm_top_k")
 def d1(spark: SparkSession, sf: str) -> DataFrame:
-    """The recurrent network itself, trained on at most 3000 pairs."""
+    """The recurrent network itself, trained with the default parameters."""
     log = events_log(spark, sf)
     words = win.vocabulary(log)
     p = win.contexts(win.encode(log, words), 50)
-    model = lstm.train(p, words.count(), lstm.LSTMParams(embedding=16, hidden=32, epochs=1, sample=3000))
+    model = lstm.train(p, words.count())
     return lstm.infer_top_k(p, model, 3)
