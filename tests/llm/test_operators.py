@@ -447,6 +447,14 @@ def exact(x: np.ndarray, k: int) -> list[list[int]]:
     return [np.lexsort((np.arange(len(x)), r))[:k].tolist() for r in d]
 
 
+def test_copies_of_a_neighbour_from_several_lists_are_one(spark):
+    d = np.float32(0.5)
+    rows = [(1, [7, 8], [float(d), 0.75]), (1, [7, 9], [float(np.nextafter(d, np.float32(1))), 1.0]), (2, [7], [0.25])]
+    got = ann.merged(spark.createDataFrame(rows, "id long, near array<long>, d array<float>"), 3).orderBy("vec_id", "rank").collect()
+    assert [(r.vec_id, r.rank, r.neighbour_id) for r in got] == [(1, 1, 7), (1, 2, 8), (1, 3, 9), (2, 1, 7)]
+    assert got[0].distance == np.sqrt(0.5)
+
+
 @pytest.mark.parametrize("shape", ["random", "clustered"])
 def test_recall_against_brute_force(spark, monkeypatch, shape):
     monkeypatch.setattr(ann, "LIST_SIZE", 64)
