@@ -189,6 +189,14 @@ def test_verdicts_read_every_successor(spark):
     assert detail.where("not prediction_ok").count() == 0
 
 
+def test_slow_decay_reads_all_of_the_past(spark):
+    x = [100.0] * 400 + [float(3 + i % 7) for i in range(900)]
+    got = baseline.ewm_scores(spark.createDataFrame([(i, 0, int(v)) for i, v in enumerate(x)], "window_idx long, code int, cnt long"), 0.01).orderBy("window_idx").toPandas()
+    want = pd.Series(x).ewm(alpha=0.01, adjust=False)
+    assert abs(got["mean"] - want.mean()).max() < 1e-9
+    assert abs(got["variance"] - want.var())[1:].max() < 1e-6
+
+
 def test_padding_of_missing_predictions(spark):
     log = log_of(spark, ["a", "b"] * 10)
     words = spark.createDataFrame([("a", 0), ("b", 1)], "template string, index long")

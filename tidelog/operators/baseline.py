@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,14 @@ from pyspark.sql import functions as F
 
 from . import windows as win
 
-#: windows in a segment of the ordered fold, and windows of the past that a segment starts from: a
-#: weight of (1 - alpha)**HALO is far under the precision of a double
-SEGMENT, HALO = 512, 256
+#: windows in a segment of the ordered fold, and windows of the past that a segment starts from: at least; more
+#: where the weight of what is left out would exceed LEAST_WEIGHT, far under the precision of a double
+SEGMENT, HALO, LEAST_WEIGHT = 512, 256, 1e-17
+
+
+def halo(alpha: float) -> int:
+    """Windows of the past that a segment starts from: (1 - alpha)**n is under LEAST_WEIGHT."""
+    return max(HALO, math.ceil(math.log(LEAST_WEIGHT) / math.log1p(-alpha)) + 1 if alpha < 1 else 1)
 
 
 @dataclass(frozen=True)
@@ -30,7 +36,9 @@ def ewm_scores(counts: DataFrame, alpha: float) -> DataFrame:
     folded in segments.
     """
     w = F.col("window_idx")
-    segments = F.sequence(F.floor(w / SEGMENT), F.floor((w + HALO) / SEGMENT))
+    past = halo(alpha)
+    length = max(SEGMENT, past)
+    segments = F.sequence(F.floor(w / length), F.floor((w + past) / length))
     rows = counts.select("code", "window_idx", "cnt", F.explode(segments).alias("segment"))
     entry = F.struct(w.alias("w"), F.col("cnt").cast("double").alias("x"))
     lists = rows.groupBy("code", "segment").agg(F.sort_array(F.collect_list(entry)).alias("obs"))
@@ -54,7 +62,7 @@ def ewm_scores(counts: DataFrame, alpha: float) -> DataFrame:
         return F.struct(o["w"].alias("w"), mean.alias("mean"), b.alias("b"), s2.alias("s2"), F.concat(s["out"], F.array(row)).alias("out"))
 
     folded = lists.select("code", "segment", F.explode(F.aggregate("obs", start, fold, lambda s: s["out"])).alias("o"))
-    own = folded.where(F.floor(F.col("o.w") / SEGMENT) == F.col("segment"))
+    own = folded.where(F.floor(F.col("o.w") / length) == F.col("segment"))
     variance = F.when(F.col("o.s2") < 1, F.col("o.b") / (1 - F.col("o.s2")))
     z = F.coalesce(F.greatest(F.lit(0.0), (F.col("o.x") - F.col("o.mean")) / F.sqrt(F.greatest(variance, F.lit(1e-9)))), F.lit(0.0))
     return own.select(F.col("o.w").alias("window_idx"), "code", F.col("o.x").cast("long").alias("cnt"), F.col("o.mean").alias("mean"), variance.alias("variance"), F.when(variance.isNull(), 0.0).otherwise(z).alias("z"))
