@@ -7,7 +7,10 @@ the exceptions: places (1 byte each) and the bits above (4 each).  The width is
 the ``PERCENTILE`` of the block's differences, so a few outliers don't widen all values.  The byte
 where each block starts is the index: any block decodes by itself.
 
-Defined cases: a null text has null n_tokens, payload and index; an empty text has 0 tokens, an empty
+The regular expression that cuts texts into pieces backtracks over white space and fails on a million blanks in a row.
+Texts are therefore cut beside runs of ``RUN`` and more, at places where it cuts anyway: the IDs are those of the uncut text.
+
+Defined cases: white space of any length, and texts of any length, are encoded whole; a null text has null n_tokens, payload and index; an empty text has 0 tokens, an empty
 payload and index; text that looks like a special token is ordinary text; rows with null or repeated
 doc_id are encoded like any other; extra columns are ignored.
 """
@@ -15,6 +18,7 @@ doc_id are encoded like any other; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +33,9 @@ from . import text as tx
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK, PERCENTILE, HEADER = 128, 0.9, 6
+RUN = 50_000
+#: What \\s is in PATTERN (White_Space of Unicode; Python's own \\s has four control characters more).
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 SCHEMA = "doc_id long, n_tokens long, payload binary, block_starts array<int>"
 
 
@@ -39,10 +46,23 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ids_of(coder: tiktoken.Encoding, text: str) -> list[int]:
+    """IDs of one text.  Of a run of white space before other text, PATTERN takes all but the last character as one piece."""
+    if len(text) < RUN:
+        return coder.encode_ordinary(text)
+    ids, done = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += coder.encode_ordinary(text[done : run.start()])
+        ids += coder._encode_single_piece(text[run.start() : end])
+        done = end
+    return ids + coder.encode_ordinary(text[done:])
+
+
 def encode(column: pa.Array, vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """IDs of all rows, joined, and the number of each row (a null has none)."""
     coder = encoding(vocabulary)
-    rows = [np.array(coder.encode_ordinary(t), dtype=np.uint32) if t else np.zeros(0, np.uint32) for t in column.to_pylist()]
+    rows = [np.array(ids_of(coder, t), dtype=np.uint32) if t else np.zeros(0, np.uint32) for t in column.to_pylist()]
     return np.concatenate([*rows, np.zeros(0, np.uint32)]), np.array([len(r) for r in rows], dtype=np.int64)
 
 
@@ -78,11 +98,13 @@ def pack(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     out[start + 4] = width
     out[start + 5] = exceptions
     for w in np.unique(width[width > 0]):
-        own = np.flatnonzero(width == w)
-        bit = ((values[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-        data = np.packbits(bit.reshape(len(own), -1), axis=1, bitorder="little")
-        keep = np.arange(data.shape[1]) < packed[own][:, None]
-        out[(start[own][:, None] + HEADER + np.arange(data.shape[1]))[keep]] = data[keep]
+        every = np.flatnonzero(width == w)
+        for low in range(0, len(every), 1 << 12):  # bits take a byte each while they are packed
+            own = every[low : low + (1 << 12)]
+            bit = ((values[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+            data = np.packbits(bit.reshape(len(own), -1), axis=1, bitorder="little")
+            keep = np.arange(data.shape[1]) < packed[own][:, None]
+            out[(start[own][:, None] + HEADER + np.arange(data.shape[1]))[keep]] = data[keep]
     order = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
     at = start[row] + HEADER + packed[row]
     out[at + order] = col
