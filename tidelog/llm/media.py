@@ -8,9 +8,9 @@ peak is paired with the next ``FAN`` peaks within ``SPAN`` frames; a pair's 32-b
 (bin, other bin, frames between), and its time is the frame of the first peak.  The fingerprint is a
 pair of arrays of equal length, codes and times, ordered by time.
 
-Defined cases: null bytes give null results; bytes that are no PCM WAV file give a row with an ``error`` and null
-arrays, never a failed job; a file without samples or without peaks has empty arrays; recordings of any length
-are read whole, chunk by chunk; repeated rows give equal rows; other columns are ignored.
+Defined cases: null bytes give null results; bytes that are no PCM WAV file, and samples of over 32 bits, give a row
+with an ``error`` and null arrays, never a failed job; of equal cells in one neighbourhood (silence, pure tones) the first is the peak; a file without samples or without peaks has empty arrays; recordings of any length are
+read whole, and transformed chunk by chunk; repeated rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ def samples(file: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and samples in -1 .. 1 of a WAV file."""
     with wave.open(io.BytesIO(file)) as w:
         width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+        if width > 4 or rate >= 1 << 31:
+            raise wave.Error(f"samples of {width} bytes, {rate} a second")
         raw = w.readframes(w.getnframes())
     raw = raw[: len(raw) - len(raw) % (width * channels)]
     if width == 1:
@@ -133,7 +135,7 @@ def fingerprint(file: bytes | None) -> tuple:
         return (None,) * 7
     try:
         rate, x = samples(bytes(file))
-    except (wave.Error, EOFError, ValueError) as e:
+    except (wave.Error, EOFError, ValueError, RuntimeError) as e:  # RuntimeError: a chunk that claims to be larger than the file
         return (*(None,) * 6, f"{type(e).__name__}: {e}"[:200])
     t, f = peaks(x)
     codes, times = pairs(t, f)
