@@ -5,14 +5,15 @@ A source's share of tokens p becomes its weight p**a / sum(p**a).  The exponent
 some source were read more than ``REPEAT_LIMIT`` times, to the smallest that keeps within it.  With a
 budget of ``BUDGET_RATIO`` times all tokens, each source gets floor(weight x budget) tokens: whole
 epochs, then part of one.  An epoch is a permutation of the source's blocks (documents grouped by a hash, about
-``BLOCK_TOKENS`` each); the last epoch takes blocks in its order while they fit, and of the next block
-the documents, by hash, that still fit.
+``BLOCK_TOKENS`` each); the last epoch takes blocks in its order while they fit.  Of the next block, documents that are longer than
+what is left are passed over, and the others are taken by hash up to the first that doesn't fit any more.  So a source falls short of its budget by
+less than the longest of those documents.
 
 Tokens are words (runs of bytes that aren't ASCII white space).  All counts are over all rows; only
 a row per source reaches the driver.  Defined cases: a null source is a source of its own; rows
 without any word (null or empty text) are drawn by no epoch; a null doc_id hashes as one id; repeated rows
-are drawn each; an empty table mixes to an empty result; of extra columns :func:`mixed` keeps all but those
-named ``epoch``, ``block`` and ``block_order``, which it writes anew.
+are drawn each; a text of any length is one document of that many words; an empty table mixes to an empty result; :func:`mixed` keeps all columns, whatever
+their names: where one is called ``epoch``, ``block`` or ``block_order``, the number of that name that it adds gets ``mixing_`` in front.
 """
 
 from __future__ import annotations
@@ -124,18 +125,28 @@ def drawn(rows: DataFrame, counts: DataFrame, n: Column, kept: list[str], budget
     columns = [*kept, "epoch", "block", "block_order"]
     whole = got.where("__size <= __left").select(*columns)
     inside = W.partitionBy("__key", "epoch", "block").orderBy(F.md5(F.concat_ws(":", F.lit("doc"), "epoch", "__id")), "__id", "__n")
-    part = got.where("__size > __left").withColumn("__n", n).withColumn("__sum", F.sum("__n").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    part = got.where("__size > __left").withColumn("__n", n).where("__n <= __left").withColumn("__sum", F.sum("__n").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     return whole.unionByName(part.where("__sum <= __left").select(*columns))
 
 
 def mixed(docs: DataFrame, budget_ratio: float = BUDGET_RATIO) -> DataFrame:
     """Rows of ``docs`` as often as they are drawn, with ``epoch``, ``block`` and ``block_order``.  Words are counted once; texts are not moved."""
-    kept = [c for c in docs.columns if c not in ("epoch", "block", "block_order")]
     counts = written(counted(docs).select("__key", "__id", "__n"), "counts")
     key = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
     full = F.coalesce(F.col("text").rlike("[^\\x09-\\x0d ]"), F.lit(False))
-    rows = docs.select(*kept, key.alias("__key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), full.alias("__full"))
-    return drawn(rows, counts, n_tokens(), kept, budget_ratio)
+    rows = docs.select(F.struct("*").alias("__row"), key.alias("__key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), full.alias("__full"))
+    got = drawn(rows, counts, n_tokens("__row.text"), ["__row"], budget_ratio)
+    return got.select("__row.*", *[F.col(c).alias(name) for c, name in free_names(docs.columns).items()])
+
+
+def free_names(columns: list[str]) -> dict[str, str]:
+    """Names for the numbers that mixing adds, none of them among ``columns``."""
+    taken, names = {c.lower() for c in columns}, {}
+    for c in ("epoch", "block", "block_order"):
+        names[c] = c
+        while names[c] in taken:
+            names[c] = f"mixing_{names[c]}"
+    return names
 
 
 def draws(docs: DataFrame, budget_ratio: float = BUDGET_RATIO) -> DataFrame:
@@ -177,7 +188,7 @@ o AS (SELECT k, block, epoch, size, row_number() OVER q AS block_order,
       FROM (SELECT b.*, unnest(range(0, epochs + 1)) AS epoch FROM b)
       WINDOW q AS (PARTITION BY k, epoch ORDER BY md5('epoch:' || epoch || ':' || k || ':' || block), block)),
 r AS (SELECT d.doc_id, d.source, o.epoch, d.block, o.block_order, d.n, o.size, o.remaining,
-             sum(d.n) OVER (PARTITION BY d.k, o.epoch, d.block ORDER BY md5('doc:' || o.epoch || ':' || d.id), d.id, d.n ROWS UNBOUNDED PRECEDING) AS run
+             sum(CASE WHEN d.n <= o.remaining THEN d.n END) OVER (PARTITION BY d.k, o.epoch, d.block ORDER BY md5('doc:' || o.epoch || ':' || d.id), d.id, d.n ROWS UNBOUNDED PRECEDING) AS run
       FROM d JOIN o ON d.k = o.k AND d.block = o.block WHERE o.remaining > 0)
-SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block, block_order, CAST(n AS BIGINT) AS n_tokens FROM r WHERE size <= remaining OR run <= remaining
+SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block, block_order, CAST(n AS BIGINT) AS n_tokens FROM r WHERE size <= remaining OR (n <= remaining AND run <= remaining)
 """
