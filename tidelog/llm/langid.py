@@ -300,10 +300,10 @@ def _gradients(params: list[np.ndarray], codes: np.ndarray, label: np.ndarray) -
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Train on at most ``sample`` labelled rows, chosen by a hash of their doc_id."""
-    labelled = docs.where("lang is not null").select("doc_id", "text", "lang")
-    rows = bounded(labelled, sample, "doc_id").where("length(text) > 0").collect()
-    rows = rows or labelled.where("length(text) > 0").limit(sample).collect()  # ids that repeat may all hash over the cut
+    """Train on at most ``sample`` labelled rows with text, chosen by a hash of their doc_id, in an order of their own: the model
+    doesn't depend on how the table is stored."""
+    labelled = docs.where("lang is not null and length(text) > 0").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    rows = bounded(labelled, sample, "doc_id").collect()
     return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 
