@@ -70,9 +70,9 @@ def test_groups_match_brute_force(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    labels = dict(minhash.components(edges).collect())
-    assert labels == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    edges = spark.createDataFrame([((i, 5), (i + 1, 5)) for i in range(40)] + [((100, 1), (100, 2))], f"a {minhash.NODE}, b {minhash.NODE}")
+    labels = {(r.id.d, r.id.h): (r.label.d, r.label.h) for r in minhash.components(edges).collect()}
+    assert labels == {(i, 5): (0, 5) for i in range(41)} | {(100, 1): (100, 1), (100, 2): (100, 1)}
 
 
 def test_awkward_rows(spark):
@@ -99,7 +99,7 @@ def test_empty_table(spark):
 
 def test_big_group_has_star_edges_only(spark):
     docs = documents(spark, [(i, "the same text in every document of this group") for i in range(500)])
-    signed = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(minhash._sign, "id long, bands array<long>, sig binary")
+    signed = docs.select(F.expr("struct(doc_id as d, xxhash64(text) as h)").alias("id"), "text").mapInArrow(minhash._sign, f"id {minhash.NODE}, bands array<long>, sig binary")
     assert minhash.candidate_edges(signed).count() == 499
     assert minhash.near_duplicates(docs).count() == 499
 
@@ -108,3 +108,27 @@ def test_densification_is_deterministic():
     a, _ = minhash.signatures(pa.array(["alpha beta gamma"]))
     b, _ = minhash.signatures(pa.array(["x y", "alpha beta gamma"]))
     assert np.array_equal(a[0], b[1])
+
+
+def test_one_id_with_two_texts(spark):
+    """Document 5 has two texts: one is repeated by 9, the other repeats 3; no text is left nowhere."""
+    a, b = words(1, 60), words(2, 60)
+    docs = documents(spark, [(3, b), (5, a), (5, b), (9, a), (7, words(3, 60)), (7, words(3, 60))])
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == [(5, 3), (9, 5)]
+    kept = sorted((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted([(3, b), (5, a), (7, words(3, 60)), (7, words(3, 60))])
+
+
+def test_recall_of_pairs_from_the_stated_similarity(spark):
+    """Pairs of a Jaccard similarity of 0.6 to 0.7 against brute force."""
+    rows, alike = [], []
+    for g in range(150):
+        base = words(7000 + g, 200, 10**6)
+        other = edited(base, g, 0.11)
+        a, b = shingle_set(base), shingle_set(other)
+        rows += [(2 * g, base), (2 * g + 1, other)]
+        if 0.6 <= len(a & b) / len(a | b) < 0.7:
+            alike.append(2 * g + 1)
+    found = {r.doc_id: r.keep_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert len(alike) > 60 and sum(found.get(i) == i - 1 for i in alike) >= 0.95 * len(alike)
+    assert all(i == k + 1 for i, k in found.items())

@@ -93,6 +93,37 @@ def test_sample_widths_and_channels(width):
     assert rate == 44100 and np.allclose(x, [-0.5, 0.496] if width == 1 else [-0.5, 0.25], atol=0.01)
 
 
+def test_broken_headers_are_errors(spark):
+    import random
+
+    rng, base = random.Random(0), wav(bytes(range(256)) * 8)
+    rows = [(1, wav(b"\0" * 60, 4)), (2, base)]
+    for width in (5, 6, 8, 9, 200):
+        b = bytearray(base)
+        b[32:36] = (width).to_bytes(2, "little") + (8 * width).to_bytes(2, "little")
+        rows.append((width, bytes(b)))
+    big = bytearray(base)
+    big[24:28] = b"\xff" * 4
+    rows.append((300, bytes(big)))
+    for i in range(300):
+        b = bytearray(base if i % 4 else base[: rng.randrange(len(base))])
+        for _ in range(rng.randrange(1, 6)):
+            if b:
+                b[rng.randrange(min(len(b), 60))] = rng.choice([0, 1, 2, 4, 255, rng.randrange(256)])
+        rows.append((1000 + i, bytes(b)))
+    got = {r.doc_id: r for r in media.fingerprints(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, wav binary")).collect()}
+    assert got[1].error is None and got[2].error is None and len(got) == len(rows)
+    assert all(got[i].error and got[i].codes is None for i in (5, 6, 8, 9, 200, 300))
+
+
+def test_equal_cells_have_one_peak(monkeypatch):
+    """Silence and a spectrum with ties: the earliest and lowest of equal neighbours is the only peak."""
+    assert media.peaks(np.zeros(5000, np.float32))[0].tolist() == []
+    monkeypatch.setattr(media, "spectrum", lambda x, a, b: np.where((np.arange(a, b)[:, None] % 20 < 3) & (np.arange(257) % 50 < 4), np.float32(9), np.float32(0)))
+    t, f = media.peaks(np.zeros(media.HOP * 100, np.float32))
+    assert set(t.tolist()) == {0, 20, 40, 60, 80} and set(f.tolist()) == set(range(0, 257, 50))
+
+
 def test_awkward_media(spark):
     rows = [(1, None), (2, b""), (3, b"RIFFnonsense"), (4, wav(b"")), (5, wav(b"\x80" * 10)), (6, wav(bytes(range(256)) * 40)), (6, wav(bytes(range(256)) * 40)), (None, wav(b"\x80" * 3000))]
     df = spark.createDataFrame([(i, bytearray(b) if b is not None else None, "x") for i, b in rows], "doc_id long, wav binary, codes string")
@@ -152,6 +183,56 @@ def test_tokens_of_awkward_rows(spark):
     assert tokens.packed_tokens(docs.where(F.lit(False))).collect() == []
 
 
+@pytest.mark.parametrize("blanks", [" ", "\n", " \n\t\u00a0\u3000"])
+@pytest.mark.parametrize("size", [1_000_000, 2_000_000, 10_000_000])
+def test_long_white_space(blanks, size):
+    """Beyond what the regular expression stands; under it (first assertions) cut and uncut encoding agree."""
+    coder = tokens.encoding(tokens.VOCABULARY)
+    short = (blanks * tokens.RUN)[: tokens.RUN + 7]
+    for text in (short, "a" + short + "b", short + "'s", "x\x1c" + short + "1" + short, short[:-20] + "!"):
+        assert tokens.ids_of(coder, text) == coder.encode_ordinary(text)
+    text = "a" + (blanks * size)[:size] + "b"
+    assert coder.decode(tokens.ids_of(coder, text)) == text
+
+
+def test_long_white_space_in_tables(spark):
+    rows = [(1, "a" + " " * 1_200_000 + "b"), (2, "\n" * 1_500_000), (3, "x")]
+    docs = documents(spark, rows)
+    coder = tokens.encoding(tokens.VOCABULARY)
+    got = {r.doc_id: r for r in tokens.packed_tokens(docs).collect()}
+    pieces = packing.packed(docs).orderBy("doc_id", "piece").collect()
+    for i, text in rows:
+        ids = tokens.unpack(bytes(got[i].payload), got[i].block_starts, got[i].n_tokens).tolist()
+        assert coder.decode(ids) == text and [t for p in pieces if p.doc_id == i for t in p.tokens] == ids
+
+
+def slow_blocks(ids: list[int]) -> tuple[bytes, list[int]]:
+    """The format restated with Python's integers."""
+    out, starts = b"", []
+    for low in range(0, len(ids), tokens.BLOCK):
+        block = ids[low : low + tokens.BLOCK]
+        least = min(block)
+        lengths = sorted((x - least).bit_length() for x in block)
+        width = lengths[math.ceil(tokens.PERCENTILE * len(block)) - 1]
+        odd = [(i, (x - least) >> width) for i, x in enumerate(block) if (x - least) >> width]
+        packed = sum(((x - least) & ((1 << width) - 1)) << (width * i) for i, x in enumerate(block))
+        starts.append(len(out))
+        out += least.to_bytes(4, "little") + bytes([width, len(odd)]) + packed.to_bytes(-(-len(block) // 8) * width, "little")
+        out += bytes(i for i, _ in odd) + b"".join(h.to_bytes(4, "little") for _, h in odd)
+    return out, starts
+
+
+def test_query_matches_slow_blocks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    coder = tokens.encoding(tokens.VOCABULARY)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = tokens.packed_tokens(docs).collect()
+    assert len(got) == len(text)
+    for r in got:
+        ids = coder.encode_ordinary(text[r.doc_id])
+        assert (bytes(r.payload), r.block_starts, r.n_tokens) == (*slow_blocks(ids), len(ids))
+
+
 # --- packing
 
 
@@ -211,7 +292,9 @@ def test_mixing_matches_sql(spark, monkeypatch, block):
     want = sorted(map(str, rel.fetchall()))
     assert sorted(str(tuple(r)) for r in mixing.draws(docs).select(*rel.columns).collect()) == want
     again = mixing.mixed(docs)
-    assert sorted(map(str, again.select("doc_id", "source", "epoch", "block", "block_order").collect())) == sorted(map(str, mixing.draws(docs).select("doc_id", "source", "epoch", "block", "block_order").collect()))
+    mine = [F.col(f"mixing_{c}").alias(c) for c in ("epoch", "block", "block_order")]  # the table has columns of these names
+    assert {tuple(r) for r in again.select("epoch", "block", "block_order").collect()} == {("e", "b", "o")}
+    assert sorted(map(str, again.select("doc_id", "source", *mine).collect())) == sorted(map(str, mixing.draws(docs).select("doc_id", "source", "epoch", "block", "block_order").collect()))
     assert set(docs.columns) <= set(again.columns) and again.where("doc_id in (901, 902)").count() == 0
 
 
@@ -237,6 +320,28 @@ def test_budgets_are_kept(spark, monkeypatch):
         assert own[r.source or "?"] - 2 * 70 <= r.n <= own[r.source or "?"]
 
 
+def test_columns_of_the_input_survive(spark, monkeypatch):
+    """Columns named like mixing's own, in any case, keep their values; its numbers get other names."""
+    docs = documents(spark, [(i, words(i, 30)) for i in range(20)]).selectExpr("*", "'USER' as block", "'E' as Epoch", "'k' as __key", "1 as __n", "'r' as __row", "'m' as mixing_block")
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "mixing_epoch", "mixing_mixing_block", "block_order"]
+    assert {tuple(r) for r in got.select("block", "Epoch", "__key", "__n", "__row", "mixing_block").collect()} == {("USER", "E", "k", 1, "r", "m")}
+    assert sorted(r.doc_id for r in got.collect()) == list(range(20))
+
+
+def test_mixing_long_and_repeated_rows(spark):
+    """Repeated rows are drawn each; a document longer than a source's rest is passed over and doesn't keep out shorter ones."""
+    rows = [(1, words(1, 30_000), "en", "a")] + [(2, words(2, 40), "en", "a")] * 3 + [(10 + i, words(10 + i, 50), "en", "b") for i in range(20)]
+    got = mixing.draws(documents(spark, rows)).collect()
+    whole = [r for r in got if r.epoch == 0 and r.doc_id == 2]
+    assert len(whole) in (0, 3) and {r.n_tokens for r in got if r.doc_id == 1} <= {30_000}
+    own = {r[0]: r for r in mixing.plan({"s:a": 30_120, "s:b": 1000})}
+    for key, name in (("s:a", "a"), ("s:b", "b")):
+        rest = sum(r.n_tokens for r in got if r.source == name and r.epoch == own[key][2])
+        assert own[key][3] - (120 if name == "a" and own[key][3] < 30_000 else 50) <= rest <= own[key][3] or rest == 120
+        assert sum(r.n_tokens for r in got if r.source == name and r.epoch < own[key][2]) == own[key][2] * own[key][4]
+
+
 def test_mixing_nothing(spark):
     docs = documents(spark, [(1, None), (2, "")])
     assert mixing.draws(docs).collect() == [] and mixing.mixed(docs).collect() == []
@@ -362,6 +467,36 @@ def test_language_id_of_awkward_rows(spark):
     assert langid.identify(docs.where(F.lit(False))).collect() == []
 
 
+def test_model_does_not_depend_on_row_order(spark, monkeypatch):
+    texts, names = languages(90)
+    docs = documents(spark, [(i % 40 if i % 7 else None, t, n) for i, (t, n) in enumerate(zip(texts, names))])
+    for sample in (langid.SAMPLE, 30):
+        models = [langid.fit(d, sample) for d in (docs, docs.repartition(5, "text"))]
+        for m in models[1:]:
+            assert all(np.array_equal(a, b) for a, b in zip((models[0].out, *models[0].forward), (m.out, *m.forward))) and m.margin == models[0].margin
+    one = documents(spark, [(1, texts[0], "aa")] * 50)
+    assert langid.fit(one, 10).languages == ["aa"]  # all rows hash alike
+
+
+def test_query_matches_one_text_at_a_time(spark):
+    """The whole of identify against a slow network and pooling, row by row."""
+    texts, names = languages(60)
+    docs = documents(spark, [(i, t, n) for i, (t, n) in enumerate(zip(texts, names))])
+    model = langid.fit(docs)
+    h = langid.HIDDEN
+    for r in langid.identify(docs, model).collect():
+        data, every = texts[r.doc_id].encode(), []
+        for low in range(0, len(data), langid.WINDOW):
+            part = np.frombuffer(data[low : low + langid.WINDOW], np.uint8)[:, None]
+            a, b = slow_states(part, *model.forward, False), slow_states(part, *model.backward, True)
+            x = np.exp(a @ model.out[:h] + b @ model.out[h:] + model.bias)[:, 0]
+            every.append(x / x.sum(axis=1, keepdims=True))
+        p = np.concatenate(every)
+        assert r.lang_pred == model.languages[p.mean(axis=0).argmax()] and abs(r.confidence - p.mean(axis=0).max()) < 1e-4
+        sure = np.sort(p, axis=1)[:, -1] - np.sort(p, axis=1)[:, -2] > 1e-3
+        assert (np.frombuffer(bytes(r.position_labels), np.uint8) == p.argmax(axis=1))[sure].all()
+
+
 def test_language_id_without_labels(spark):
     docs = documents(spark, AWKWARD).withColumn("lang", F.lit(None).cast("string"))
     got = {r.doc_id: r.accepted for r in langid.identify(docs).collect()}
@@ -374,6 +509,8 @@ def test_sample_is_bounded_and_stable(spark):
     a = sorted(r.doc_id for r in sampling.bounded(rows.repartition(7), 500, "doc_id").collect())
     assert len(a) == 500 and a == sorted(r.doc_id for r in sampling.bounded(rows.coalesce(1), 500, "doc_id").collect())
     assert sampling.bounded(rows, 10**6, "doc_id").count() == 20_000
+    same = spark.range(3000).selectExpr("id % 2 as doc_id", "id as x")  # all of a key hash alike
+    assert sampling.bounded(same, 100, "doc_id").count() == 100
 
 
 # --- quality

@@ -11,7 +11,7 @@ import corpus_pipeline
 from tidelog.llm import mixing, packing, scratch, tokens
 from tidelog.llm.repeats import LENGTH
 
-from .helpers import SCHEMA
+from .helpers import AWKWARD, SCHEMA, documents
 
 STEMS = {"en": ["the", "and", "tion", "ing", "er"], "de": ["der", "ung", "sch", "keit", "lich"]}
 
@@ -113,6 +113,24 @@ def test_run_equals_the_stages(spark, stages, corpus):
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, stages[4].select(columns).collect()))
 
 
+def test_pipeline_with_awkward_rows_and_clashing_columns(spark, corpus, tmp_path):
+    """Nulls, empty and very long texts, a million blanks, repeated rows, and columns named like those that stages use."""
+    rows = [*AWKWARD, (110, "a" + " " * 1_100_000 + "b"), (111, prose(1, 80)), (111, prose(1, 80)), (112, prose(1, 80))] + [(600 + i, prose(i, 70)) for i in range(40)]
+    docs = documents(spark, rows, clash=True)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = scratch.written(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select("label", "block", "epoch", "key").distinct().collect()} == {("x", "b", "e", "k")}
+        docs = out
+    kept = {r.doc_id for r in docs.collect()}
+    assert not kept & {100, 101, 102, 112}
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs.where("length(text) > 0").collect()}
+    scratch.clear(spark)
+
+
 def test_pipeline_over_nothing(spark, corpus, tmp_path):
     empty = spark.read.parquet(f"{corpus[0]}/documents.parquet").where(F.lit(False))
     empty.write.parquet(str(tmp_path / "documents.parquet"))
