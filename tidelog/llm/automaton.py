@@ -6,9 +6,10 @@ shards its anchors point to: the matching statistic at a word is the length of t
 ends there and occurs in an earlier document.  Where it reaches ``LENGTH`` words the run is marked;
 unions of marked runs are the maximal spans that are removed, so the first occurrence stays.
 
-Where the whole reference has at most ``BROADCAST_WORDS`` words (counted first), its automata are
-broadcast and the documents are streamed through them without being moved.  Beyond that the documents' slices travel
-to the shard of their family, where the automaton grows document by document.  Both give the same spans.
+A corpus is its own reference, so broadcasting all automata to all documents would read every document once for every shard.  They are broadcast where
+the whole reference has at most ``BROADCAST_WORDS`` words (counted first), and the documents are streamed through them without being moved.  Beyond that
+the documents' slices travel to the shard of their family, where the automaton grows document by document; families of more than ``TASK_WORDS`` words are compared
+by their windows (:func:`.repeats.split`).  All give the same spans.
 
 Defined cases: texts of fewer than ``LENGTH`` words, nulls in doc_id or text and empty tables have no
 spans; repeats inside one document alone are not removed; equal rows are one document and get the same
@@ -32,7 +33,7 @@ from .repeats import LENGTH, Family, Slice
 from .scratch import written
 
 SHARD_WORDS = 100_000
-BROADCAST_WORDS = 200_000
+BROADCAST_WORDS = TASK_WORDS = 200_000
 
 
 class SuffixAutomaton:
@@ -151,7 +152,7 @@ def stream(family: Family) -> list[tuple[int, int, int]]:
     """Spans (document, start, stop) of a family: its documents in order, each against the automata of those before."""
     shards: list[SuffixAutomaton] = []
     spans, doc_runs = [], defaultdict(list)
-    for run in repeats.shared_runs(family):
+    for run in family.slices:
         doc_runs[run.doc].append(run)
     for doc in sorted(doc_runs):
         fresh = []
@@ -172,18 +173,9 @@ def _stream(families: Iterator[Family]) -> Iterator[tuple[Family, list[tuple[int
         yield family, stream(family)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of repeated windows of each family, one row each: what the broadcast automata are built from."""
-    for family in repeats.grouped(batches):
-        runs = repeats.shared_runs(family)
-        if runs:
-            size = np.array([len(r.words) for r in runs])
-            keys = [family.keys[r.doc] for r in runs]
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), tx.binary_array(np.concatenate([r.words for r in runs]).view(np.uint8), 8 * size)], names=["doc_id", "text_hash", "words"])
-
-
-def _by_broadcast(docs: DataFrame, reference: DataFrame) -> DataFrame:
-    rows = sorted({(r.doc_id, r.text_hash, bytes(r.words)) for r in reference.collect()})
+def _by_broadcast(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    parts = [(r.doc_id, r.text_hash, part.tobytes()) for r in cut.select("doc_id", "text_hash", "size", "words").collect() for part in np.split(np.frombuffer(r.words, np.uint64), np.cumsum(r.size)[:-1])]
+    rows = sorted(set(parts))
     order = {key: i for i, key in enumerate(sorted({r[:2] for r in rows}))}
     shards: list[SuffixAutomaton] = []
     for doc_id, text_hash, words in rows:
@@ -212,11 +204,13 @@ def _by_broadcast(docs: DataFrame, reference: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """Maximal repeated spans (doc_id, text_hash, start, stop), in words."""
     cut = written(repeats.families(docs, repeats.repeated_anchors(docs)), "families")
-    size = cut.agg(F.coalesce(F.sum(F.length("words") / 8), F.lit(0)).alias("n")).first().n
-    placed = cut.repartition("family_id", "family_hash").sortWithinPartitions("family_id", "family_hash", "doc_id", "text_hash")
+    size = cut.agg(F.coalesce(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda n, x: n + x)), F.lit(0)).alias("n")).first().n
     if size <= BROADCAST_WORDS:
-        return _by_broadcast(docs, tx.map_batches(placed, _windows, "doc_id long, text_hash long, words binary"))
-    return repeats.merged(tx.map_batches(placed, repeats.matcher(_stream), repeats.SPANS))
+        return _by_broadcast(docs, cut)
+    cold, hot = repeats.split(cut, TASK_WORDS)
+    placed = cold.repartition("family").sortWithinPartitions("family", "doc_id", "text_hash")
+    found = tx.map_batches(placed, repeats.matcher(_stream), repeats.SPANS)
+    return repeats.merged(found.union(hot) if hot is not None else found)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

@@ -6,12 +6,16 @@ hash among its ``GRAM``-word grams (winnowing), so two documents that share a wi
 of the others are the only text that is compared further.  Nothing is sampled: every shared window
 is owned by an anchor that both documents have.
 
-Each repeated anchor belongs to a *family*, the first document (smallest key) that holds it.  A document
+Each repeated anchor belongs to a *family*, the smallest doc_id that holds it.  A document
 is sent to each family that it shares an anchor with, cut down to the windows of those anchors, so
 all occurrences of a shared window meet in the family of its anchor, and data grow with what is
 repeated.  Documents are ordered by (doc_id, hash of the text): a shared window stays in the first
 document and repeats it in the others.  Rows with a null doc_id or text take no part; equal rows are
 one document; shorter texts have no window.
+
+A family is matched in one task.  In it, documents of equal text are one: all slices of the later ones repeat the first.  A family whose different texts
+have more words than a task should hold (a passage in very many surroundings) is not gathered at all: its windows are hashed and compared by
+aggregation, see :func:`split`.  Both ways give the same spans.
 """
 
 from __future__ import annotations
@@ -83,12 +87,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, family_id, family_hash, low, high) of every anchor that lies in several documents."""
+    """(doc_id, text_hash, family, low, high) of every anchor that lies in several documents.  An anchor of very many is aggregated
+    before it moves, and its partition of the join is split."""
     rows = tx.map_batches(keyed(docs), _anchor_rows, "anchor long, doc_id long, text_hash long, low int, high int")
-    key = F.struct("doc_id", "text_hash")
-    at = W.partitionBy("anchor")
-    known = rows.select("*", F.min(key).over(at).alias("family"), F.max(key).over(at).alias("last"))
-    return known.where("family < last").select("doc_id", "text_hash", F.col("family.doc_id").alias("family_id"), F.col("family.text_hash").alias("family_hash"), "low", "high")
+    ends = rows.groupBy("anchor").agg(F.min("doc_id").alias("family"), F.max("doc_id").alias("last"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
+    return rows.join(ends.where("family < last or a < b").select("anchor", "family"), "anchor").select("doc_id", "text_hash", "family", "low", "high")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,46 +101,45 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = words.hashes()
         lists = batch.column(3)
         flat = lists.flatten()
-        family_id, family_hash, low, high = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("family_id", "family_hash", "low", "high"))
+        family, low, high = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("family", "low", "high"))
         row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        order = np.lexsort((low, family_hash, family_id, row))
-        row, family_id, family_hash, low, high = (x[order] for x in (row, family_id, family_hash, low, high))
+        order = np.lexsort((low, family, row))
+        row, family, low, high = (x[order] for x in (row, family, low, high))
         if not len(row):
             continue
         head = np.ones(len(row), dtype=bool)
-        head[1:] = (row[1:] != row[:-1]) | (family_id[1:] != family_id[:-1]) | (family_hash[1:] != family_hash[:-1])
+        head[1:] = (row[1:] != row[:-1]) | (family[1:] != family[:-1])
         head |= np.concatenate([[True], low[1:] > high[:-1] + 1])  # windows that follow each other are one slice
         first = np.flatnonzero(head)
         last = np.concatenate([first[1:], [len(row)]]) - 1
         begin, size = low[first].astype(np.int64), (high[last] - low[first]).astype(np.int64) + LENGTH
         owner = row[first]
         group = np.ones(len(first), dtype=bool)
-        group[1:] = (owner[1:] != owner[:-1]) | (family_id[first][1:] != family_id[first][:-1]) | (family_hash[first][1:] != family_hash[first][:-1])
+        group[1:] = (owner[1:] != owner[:-1]) | (family[first][1:] != family[first][:-1])
         start = np.flatnonzero(group)
         n = np.diff(np.concatenate([start, [len(first)]]))
         text = hashes[tx.ranges(words.first[owner] + begin, size)]
         owners = pa.array(owner[start])
         yield pa.record_batch(
             [
-                pa.array(family_id[first][start]),
-                pa.array(family_hash[first][start]),
+                pa.array(family[first][start]),
                 batch.column(0).take(owners),
                 batch.column(1).take(owners),
                 tx.list_array(begin.astype(np.int32), n),
                 tx.list_array(size.astype(np.int32), n),
                 tx.binary_array(text.view(np.uint8), 8 * np.add.reduceat(size, start)),
             ],
-            names=["family_id", "family_hash", "doc_id", "text_hash", "begin", "size", "words"],
+            names=["family", "doc_id", "text_hash", "begin", "size", "words"],
         )
 
 
 def families(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The slices of each document for each of its families, one row each."""
-    anchor = F.struct("family_id", "family_hash", "low", "high")
+    anchor = F.struct("family", "low", "high")
     per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(anchor).alias("anchors"))
     once = keyed(docs)
     cut = once.join(per_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "anchors")
-    return tx.map_batches(cut, _cut, "family_id long, family_hash long, doc_id long, text_hash long, begin array<int>, size array<int>, words binary")
+    return tx.map_batches(cut, _cut, "family long, doc_id long, text_hash long, begin array<int>, size array<int>, words binary")
 
 
 @dataclass
@@ -153,25 +155,31 @@ class Slice:
 class Family:
     keys: list[tuple[int, int]]
     slices: list[Slice]
+    copies: list[tuple[int, int, int, int]]  # (doc_id, text_hash, start, stop): slices of documents whose text an earlier one has
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Family]:
     """Families of a partition that is sorted by family and document; equal rows are one."""
-    family, current = None, Family([], [])
+    family, current, texts, last = None, Family([], [], []), set(), None
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        begins, sizes = batch.column(4), batch.column(5)
-        data, offsets = tx.text_buffer(batch.column(6))
+        columns = [batch.column(i).to_pylist() for i in range(3)]
+        begins, sizes = batch.column(3), batch.column(4)
+        data, offsets = tx.text_buffer(batch.column(5))
         b, s = begins.flatten().to_numpy(), sizes.flatten().to_numpy()
         parts = begins.offsets.to_numpy() - begins.offsets[0].as_py()
-        for i, (fid, fhash, doc, text_hash) in enumerate(zip(*columns, strict=True)):
-            if (fid, fhash) != family:
+        for i, (of, doc, text_hash) in enumerate(zip(*columns, strict=True)):
+            if of != family:
                 if current.keys:
                     yield current
-                family, current = (fid, fhash), Family([], [])
-            if current.keys and current.keys[-1] == (doc, text_hash):
+                family, current, texts, last = of, Family([], [], []), set(), None
+            if last == (doc, text_hash):
+                continue
+            last = (doc, text_hash)
+            if text_hash in texts:
+                current.copies += [(doc, text_hash, int(b[j]), int(b[j] + s[j])) for j in range(parts[i], parts[i + 1])]
                 continue
-            current.keys.append((doc, text_hash))
+            texts.add(text_hash)
+            current.keys.append(last)
             words = data[offsets[i] : offsets[i + 1]].copy().view(np.uint64)
             at = 0
             for j in range(parts[i], parts[i + 1]):
@@ -181,23 +189,38 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Family]:
         yield current
 
 
-def shared_runs(family: Family) -> list[Slice]:
-    """The family's slices cut down to windows that occur in it more than once (by window hash; the
-    matchers compare the words themselves).  Drops the surroundings that each copy brings along."""
-    every = [tx.gram_hashes(s.words, LENGTH) for s in family.slices]
-    joined = np.concatenate(every) if every else np.zeros(0, np.uint64)
-    order = np.argsort(joined, kind="stable")
-    same = joined[order[1:]] == joined[order[:-1]]
-    keep = np.zeros(len(joined), dtype=bool)
-    keep[order[1:][same]] = True
-    keep[order[:-1][same]] = True
-    runs, at = [], 0
-    for s, hashes in zip(family.slices, every, strict=True):
-        mask = np.concatenate([[False], keep[at : at + len(hashes)], [False]])
-        at += len(hashes)
-        edges = np.flatnonzero(mask[1:] != mask[:-1])
-        runs += [Slice(s.doc, s.begin + int(a), s.words[a : b + LENGTH - 1]) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    return runs
+def split(cut: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``cut`` (a written table) of families of at most ``most`` words, and the spans of the other families, if there are any.
+
+    A copy of a text adds nothing to the words of its family.
+    """
+    words = F.aggregate("size", F.lit(0).cast("long"), lambda n, x: n + x)
+    texts = cut.groupBy("family", "text_hash").agg(F.max(words).alias("n"))
+    hot = written(texts.groupBy("family").agg(F.sum("n").alias("n")).where(F.col("n") > most).drop("n"), "hot")
+    n = hot.count()
+    if not n:
+        return cut, None
+    hot = F.broadcast(hot) if n <= BROADCAST_CUTS else hot
+    windows = tx.map_batches(cut.join(hot, "family", "left_semi").select("doc_id", "text_hash", "begin", "size", "words"), _windows, "window long, doc_id long, text_hash long, start int")
+    key = F.struct("doc_id", "text_hash")
+    known = windows.groupBy("window").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").drop("last")
+    again = windows.join(known, "window").where(key > F.col("first"))
+    return cut.join(hot, "family", "left_anti"), again.select("doc_id", "text_hash", "start", (F.col("start") + LENGTH).alias("stop"))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and first word of every window of the slices (windows of equal hash are of one family, that of their anchor)."""
+    for batch in batches:
+        begins, sizes = batch.column(2), batch.column(3)
+        data, offsets = tx.text_buffer(batch.column(4))
+        b, s = begins.flatten().to_numpy(), sizes.flatten().to_numpy()
+        parts = begins.offsets.to_numpy() - begins.offsets[0].as_py()
+        for i in range(batch.num_rows):
+            text, size = data[offsets[i] : offsets[i + 1]].copy().view(np.uint64), s[parts[i] : parts[i + 1]].astype(np.int64)
+            hashes = [tx.gram_hashes(part, LENGTH) for part in np.split(text, np.cumsum(size)[:-1])]
+            row = pa.array(np.full(int((size - LENGTH + 1).sum()), i))
+            start = tx.ranges(b[parts[i] : parts[i + 1]], size - LENGTH + 1).astype(np.int32)
+            yield pa.record_batch([pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(start)], names=["window", "doc_id", "text_hash", "start"])
 
 
 def matcher(find: Callable[[Iterator[Family]], Iterator[tuple[Family, list[tuple[int, int, int]]]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -205,10 +228,10 @@ def matcher(find: Callable[[Iterator[Family]], Iterator[tuple[Family, list[tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, spans in find(grouped(batches)):
-            if spans:
-                doc, start, stop = zip(*spans, strict=True)
-                keys = [family.keys[d] for d in doc]
-                yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "text_hash", "start", "stop"])
+            rows = [(*family.keys[d], a, b) for d, a, b in spans] + family.copies
+            if rows:
+                doc, text_hash, start, stop = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "text_hash", "start", "stop"])
 
     return run
 

@@ -9,6 +9,8 @@ text and the cover's ranks is that of one bucket.  In the finished order, neighb
 ``LENGTH`` words form groups; all occurrences of a group but those in its first document are marked, and unions of
 marked runs are the spans that are removed.
 
+Families of more than ``TASK_WORDS`` words are compared by their windows instead (:func:`.repeats.split`), so no task holds more than that and a block.
+
 Results and defined cases (nulls, short and empty texts, repeated rows, ids with several texts, extra
 columns) are those of :mod:`.automaton`; the two are tested against each other and against brute force.
 """
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame
 from . import repeats
 from . import text as tx
 from .repeats import LENGTH, Family
+from .scratch import written
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 BUCKET_WORDS = 1 << 16
 BLOCK_WORDS = 1 << 18
+TASK_WORDS = 1 << 21
 #: SHIFT[a, b]: the least d with (a + d) and (b + d) in the cover modulo PERIOD.
 SHIFT = np.array([[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)])
 
@@ -162,7 +166,7 @@ def block_spans(families: list[Family]) -> list[list[tuple[int, int, int]]]:
     """Spans (document, start, stop) of each family; the families' texts are one block."""
     parts, owner, doc, place, width = [], [], [], [], 0
     for f, family in enumerate(families):
-        for run in repeats.shared_runs(family):
+        for run in family.slices:
             parts.append(run.words)
             owner.append(np.full(len(run.words) + 1, f))
             doc.append(np.full(len(run.words) + 1, run.doc))
@@ -201,9 +205,10 @@ def _sort(families: Iterator[Family]) -> Iterator[tuple[Family, list[tuple[int,
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    cut = repeats.families(docs, repeats.repeated_anchors(docs))
-    placed = cut.repartition("family_id", "family_hash").sortWithinPartitions("family_id", "family_hash", "doc_id", "text_hash")
-    return repeats.merged(tx.map_batches(placed, repeats.matcher(_sort), repeats.SPANS))
+    cold, hot = repeats.split(written(repeats.families(docs, repeats.repeated_anchors(docs)), "families"), TASK_WORDS)
+    placed = cold.repartition("family").sortWithinPartitions("family", "doc_id", "text_hash")
+    found = tx.map_batches(placed, repeats.matcher(_sort), repeats.SPANS)
+    return repeats.merged(found.union(hot) if hot is not None else found)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
