@@ -60,6 +60,26 @@ def test_matches_brute_force(spark, monkeypatch, seed, operator):
     assert got == brute_force(rows) and got
 
 
+@pytest.mark.parametrize("most", [0, 700])
+def test_families_compared_by_windows_give_the_same(spark, monkeypatch, most):
+    rows = corpus(7)
+    docs = documents(spark, rows)
+    for module, name, value in ((automaton, "BROADCAST_WORDS", -1), (automaton, "TASK_WORDS", most), (suffixarray, "TASK_WORDS", most)):
+        monkeypatch.setattr(module, name, value)
+    want = brute_force(rows)
+    assert sorted(tuple(r) for r in automaton.repeated_spans(docs).collect()) == want
+    assert sorted(tuple(r) for r in suffixarray.repeated_spans(docs).collect()) == want
+
+
+def test_one_passage_in_very_many_documents(spark, monkeypatch):
+    """20,000 documents hold one passage, each in surroundings of its own: no task gathers them."""
+    passage = words(1, 60)
+    df = spark.range(20_000).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(1, 60), i -> concat('a', id * 1000 + i)), '{passage}', transform(sequence(61, 90), i -> concat('b', id * 1000 + i))) as text")
+    for module in (automaton, suffixarray):
+        got = module.repeated_spans(df).groupBy("start_word", "end_word", "n_words").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).collect()
+        assert [tuple(r) for r in got] == [(60, 119, 60, 19_999, 1)]
+
+
 def test_small_shards_and_buckets_give_the_same(spark, monkeypatch):
     rows = corpus(3)
     docs = documents(spark, rows)
