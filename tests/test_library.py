@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog import cli
 from tidelog.functions import masking, parsing, predicates, similarity
-from tidelog.operators import baseline, batch, comparative, drain, evaluate, parse, reconstruction, samples, synth, temporal
+from tidelog.operators import baseline, batch, comparative, drain, evaluate, parse, reconstruction, samples, synth, tables, temporal
 from tidelog.operators import sequence as seq
 from tidelog.operators import windows as win
 from tidelog.sources import logs
@@ -398,3 +398,26 @@ def test_sample_helpers(spark):
     assert spaced == [0, 20, 50]
     assert samples.histogram(log.select(F.col("line_no").cast("double").alias("x")), "x", 6).orderBy("bin").collect()[-1].n == 10
     assert samples.template_samples(log, spark.createDataFrame([("t1",)], "template_id string"), 2).count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 400, 50_000])
+def test_quantiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    for values in (rng.normal(size=n), np.round(rng.exponential(size=n), 1)):
+        df = spark.createDataFrame(pd.DataFrame({"x": values})).unionByName(spark.createDataFrame([(None,)], "x double")).repartition(3)
+        for q in (0.0, 0.5, 0.95, 0.999, 1.0):
+            assert np.isclose(tables.quantile(df, "x", q, "v").first().v, np.quantile(values, q), rtol=1e-12)
+    assert tables.quantile(df.where("x is null"), "x", 0.5, "v").first().v is None
+
+
+def test_contexts_that_were_never_trained_use_shorter_ones(spark):
+    log = log_of(spark, ["a", "b", "c"] * 8 + ["c", "b", "a", "d", "a"], list(range(29)))
+    words = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "template string, index long")
+    p = win.contexts(win.encode(log, words), 3, keep=2)
+    model = seq.train(p.where("line_no < 24"))  # a b c a b c: after b comes c, after c comes a
+    for got in (seq.infer_top_k(p, model, 1), seq.infer_top_p(p, model, 0.9)):
+        ok = {r.line_no: r.in_topk for r in got.collect()}
+        # 25 is b after "c c" (c knows only a), 26 is a after "c b" (b knows only c), 27 is d, 28 is a after "a d" (d is new: the most frequent)
+        assert [ok[i] for i in range(23, 29)] == [True, False, False, False, False, seq.infer_top_k(p, model, 1).where("line_no = 28").first().predicted[0] == 0]
+    assert seq.infer_top_k(p, model, 1).where("line_no = 25").first().predicted == [0]
+    assert seq.infer_top_k(p, model, 4).where("line_no = 28").first().predicted[3] == -1

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as win
+from .tables import quantile, written
 
 #: windows in a segment of the ordered fold, and windows of the past that a segment starts from: at least; more
 #: where the weight of what is left out would exceed LEAST_WEIGHT, far under the precision of a double
@@ -72,7 +73,7 @@ def window_features(log: DataFrame, params: BaselineParams = BaselineParams(), c
     """(window_idx, window_start_line, freq_z, unseen_rate)."""
     coded = log.select("line_no", "timestamp", F.coalesce(F.col(column), F.lit("\0")).alias("code"))
     windowed = win.in_windows(win.with_position(coded), params.window_size, params.stride)
-    counts = windowed.groupBy("window_idx", "code").agg(F.count("*").alias("cnt"), F.min_by("line_no", "pos").alias("line"), F.min("pos").alias("pos"))
+    counts = written(windowed.groupBy("window_idx", "code").agg(F.count("*").alias("cnt"), F.min_by("line_no", "pos").alias("line"), F.min("pos").alias("pos")), "counts")
     scored = ewm_scores(counts, params.ewm_alpha).select("window_idx", "code", "z")
     both = win.first_seen(counts).join(scored, ["window_idx", "code"])
     return both.groupBy("window_idx").agg(
@@ -82,23 +83,27 @@ def window_features(log: DataFrame, params: BaselineParams = BaselineParams(), c
     )
 
 
-def score(features: DataFrame, quantile: float = 0.95) -> DataFrame:
+def score(features: DataFrame, anomalous: float = 0.95) -> DataFrame:
     """(window_start_line, unseen_rate, freq_z, freq_norm, unseen_norm, score, is_anomaly).
 
     Scores are rounded to 9 digits before the quantile, so that equal scores stay equal; a score on the quantile is an anomaly.
     """
-    cap = features.agg(F.greatest(F.lit(1e-9), F.percentile("freq_z", F.lit(0.95))).alias("__cap"))
+    cap = quantile(features, "freq_z", 0.95, "__cap").select(F.greatest(F.lit(1e-9), "__cap").alias("__cap"))
     scored = features.crossJoin(F.broadcast(cap)).withColumns({"freq_norm": F.least(F.greatest("freq_z", F.lit(0.0)), "__cap") / F.col("__cap"), "unseen_norm": F.least(F.greatest("unseen_rate", F.lit(0.0)), F.lit(1.0))})
     scored = scored.withColumn("score", F.round(0.6 * F.col("freq_norm") + 0.4 * F.col("unseen_norm"), 9))
-    limit = scored.agg(F.percentile("score", F.lit(quantile)).alias("__limit"))
+    limit = quantile(scored, "score", anomalous, "__limit")
     return scored.crossJoin(F.broadcast(limit)).select("window_start_line", "unseen_rate", "freq_z", "freq_norm", "unseen_norm", "score", (F.col("score") >= F.col("__limit")).alias("is_anomaly"))
 
 
 def detect(log: DataFrame, params: BaselineParams = BaselineParams(), column: str = "template_id") -> DataFrame:
-    """Scores of every window of a parsed log.  A log without lines is an error."""
-    if log.isEmpty():
+    """Scores of every window of a parsed log.  A log without lines is an error.
+
+    Features, a row per window, are written once; the score and all that is made from it read them.
+    """
+    features = written(window_features(log, params, column), "features")
+    if features.isEmpty():
         raise ValueError("the log has no lines, so no windows")
-    return score(window_features(log, params, column), params.anomaly_quantile)
+    return written(score(features, params.anomaly_quantile), "scores")
 
 
 def normal_stats(scores: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def enhance(scores: DataFrame, stats: DataFrame) -> DataFrame:
     z = lambda c: (F.col(c) - F.col(f"__mean_{c}")) / (F.col(f"__std_{c}") + 1e-8)
     out = scores.crossJoin(s).withColumns({"unseen_rate_zscore": z("unseen_rate"), "freq_zscore": z("freq_z")})
     out = out.withColumn("anomaly_score", F.round(F.sqrt(F.col("unseen_rate_zscore") ** 2 + F.col("freq_zscore") ** 2), 9))
-    limit = out.agg(F.percentile("anomaly_score", F.lit(0.95)).alias("__limit"))
+    limit = quantile(out, "anomaly_score", 0.95, "__limit")
     return out.crossJoin(F.broadcast(limit)).withColumn("is_strong_anomaly", F.col("anomaly_score") > F.col("__limit")).select(*scores.columns, "unseen_rate_zscore", "freq_zscore", "anomaly_score", "is_strong_anomaly")
 
 

@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import quantile, written
+
 METHODS = {"99percentile": "threshold_99", "95percentile": "threshold_95", "99.9percentile": "threshold_99_9", "3sigma": "threshold_3sigma", "mad": "threshold_mad"}
 
 
@@ -45,10 +47,14 @@ def split(sequences: DataFrame, share: float = 0.8, order: str = "window_idx") -
 def threshold_stats(errors: DataFrame, column: str = "reconstruction_error") -> DataFrame:
     """One row: percentiles 95, 99 and 99.9, mean + 3 deviations, and median + 3 scaled median deviations."""
     e = F.col(column)
-    p = lambda q: F.percentile(e, F.lit(q))
-    base = errors.agg(p(0.95).alias("threshold_95"), p(0.99).alias("threshold_99"), p(0.999).alias("threshold_99_9"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), p(0.5).alias("median"))
-    mad = errors.crossJoin(F.broadcast(base.select("median"))).agg(F.percentile(F.abs(e - F.col("median")), F.lit(0.5)).alias("mad"))
-    return base.crossJoin(mad).withColumns({"threshold_3sigma": F.col("mean") + 3 * F.col("std"), "threshold_mad": F.col("median") + 3 * 1.4826 * F.col("mad")})
+    errors = written(errors.select(column), "errors")
+    base = errors.agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"))
+    for q, name in ((0.95, "threshold_95"), (0.99, "threshold_99"), (0.999, "threshold_99_9"), (0.5, "median")):
+        base = base.crossJoin(F.broadcast(quantile(errors, column, q, name)))
+    base = written(base, "stats")
+    away = errors.crossJoin(F.broadcast(base.select("median"))).select(F.abs(e - F.col("median")).alias("away"))
+    stats = base.crossJoin(F.broadcast(quantile(away, "away", 0.5, "mad")))
+    return stats.select("threshold_95", "threshold_99", "threshold_99_9", "mean", "std", "median", "mad", (F.col("mean") + 3 * F.col("std")).alias("threshold_3sigma"), (F.col("median") + 3 * 1.4826 * F.col("mad")).alias("threshold_mad"))
 
 
 def detect(errors: DataFrame, starts: DataFrame, stats: DataFrame | None = None, method: str = "99percentile", threshold: float | None = None) -> DataFrame:
@@ -59,7 +65,7 @@ def detect(errors: DataFrame, starts: DataFrame, stats: DataFrame | None = None,
     if threshold is not None:
         limit = errors.sparkSession.range(1).select(F.lit(float(threshold)).alias("threshold"))
     elif stats is None or method == "inference_adaptive":
-        limit = errors.agg(F.percentile("reconstruction_error", F.lit(0.95)).alias("threshold"))
+        limit = quantile(errors, "reconstruction_error", 0.95, "threshold")
     else:
         limit = stats.select(F.col(METHODS.get(method, "threshold_99")).alias("threshold"))
     found = errors.join(starts, "window_idx").crossJoin(F.broadcast(limit))

@@ -1,7 +1,7 @@
 """Sequence model: next-template scorer, verdicts, sessions, K-of-N and alerts with cooldown.
 
-The scorer is a back-off model: counts of what followed the last two templates, the last one, or
-none.  It stands in for a trained recurrent network where a deterministic, distributed model is
+The scorer is a back-off model: counts of what followed the last two templates or, where these were never seen together in training, the last one,
+or none.  It stands in for a trained recurrent network where a deterministic, distributed model is
 wanted; :mod:`.lstm` has the network itself.  Everything after the scores is the same for both.
 """
 
@@ -62,27 +62,52 @@ def predictions(model: DataFrame, k: int) -> DataFrame:
     contexts = own.select("c2", "c1").distinct()
     one = contexts.join(model.where(f"order = 1 and rank <= {2 * k}").select("c1", "next", F.lit(1).alias("level"), "rank"), "c1").select("c2", "c1", "next", "level", "rank")
     zero = contexts.crossJoin(F.broadcast(model.where(f"order = 0 and rank <= {3 * k}").select("next", F.lit(2).alias("level"), "rank")))
-    every = own.where(f"rank <= {k}").unionByName(one).unionByName(zero)
-    best = every.groupBy("c2", "c1", "next").agg(F.min(F.struct("level", "rank")).alias("s"))
-    lists = best.groupBy("c2", "c1").agg(F.sort_array(F.collect_list(F.struct("s", "next"))).alias("l"))
-    return lists.select("c2", "c1", F.transform(F.slice("l", 1, k), lambda x: x["next"]).alias("predicted"))
+    return _best(own.where(f"rank <= {k}").unionByName(one).unionByName(zero), k, "c2", "c1")
+
+
+def _best(every: DataFrame, k: int, *context: str) -> DataFrame:
+    """The k best successors of each context, by level and rank."""
+    best = every.groupBy(*context, "next").agg(F.min(F.struct("level", "rank")).alias("s"))
+    lists = best.groupBy(*context).agg(F.sort_array(F.collect_list(F.struct("s", "next"))).alias("l"))
+    return lists.select(*context, F.transform(F.slice("l", 1, k), lambda x: x["next"]).alias("predicted"))
+
+
+def shorter_predictions(model: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(c1, predicted) of every template that was trained, for pairs that weren't, and the one row (predicted) for templates that weren't either."""
+    own = model.where(f"order = 1 and rank <= {k}").select("c1", "next", F.lit(0).alias("level"), "rank")
+    top = model.where(f"order = 0 and rank <= {2 * k}").select("next", F.lit(1).alias("level"), "rank")
+    one = _best(own.unionByName(own.select("c1").distinct().crossJoin(F.broadcast(top))), k, "c1")
+    return one, _best(top.where(f"rank <= {k}"), k)
 
 
 def infer_top_k(pairs: DataFrame, model: DataFrame, k: int = 3) -> DataFrame:
-    """(idx, line_no, timestamp, host, target, in_topk, predicted): contexts that were never trained have no prediction and fail."""
-    rows = pairs.withColumns({"c1": F.element_at("context", -1), "c2": F.element_at("context", -2)})
-    known = rows.join(predictions(model, k), ["c2", "c1"], "left")
-    filled = F.coalesce("predicted", F.array().cast("array<bigint>"))
+    """(idx, line_no, timestamp, host, target, in_topk, predicted): predicted by the longest context that was trained, of order 2, 1 or 0.
+
+    A model that was trained on nothing predicts nothing, and every row fails.
+    """
+    one, none = shorter_predictions(model, k)
+    rows = pairs.withColumns({"c1": F.element_at("context", -1), "c2": F.try_element_at("context", F.lit(-2))})
+    known = rows.join(predictions(model, k).withColumnRenamed("predicted", "p2"), ["c2", "c1"], "left")
+    known = known.join(one.withColumnRenamed("predicted", "p1"), "c1", "left").crossJoin(F.broadcast(none.withColumnRenamed("predicted", "p0")))
+    filled = F.coalesce("p2", "p1", "p0", F.array().cast("array<bigint>"))
     padded = F.slice(F.concat(filled, F.array_repeat(F.lit(-1).cast("long"), k)), 1, k)
     return known.select("idx", "line_no", "timestamp", "host", "target", F.array_contains(filled, F.col("target")).alias("in_topk"), padded.alias("predicted"))
 
 
 def infer_top_p(pairs: DataFrame, model: DataFrame, p: float) -> DataFrame:
-    """(idx, ..., in_topk): ok if the probability of everything ranked before the target is under p; the first rank always is."""
-    by = W.partitionBy("c1").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    one = model.where("order = 1").select("c1", F.col("next").alias("target"), F.coalesce(F.sum("prob").over(by), F.lit(0.0)).alias("before"))
-    rows = pairs.withColumn("c1", F.element_at("context", -1)).join(one, ["c1", "target"], "left")
-    return rows.select("idx", "line_no", "timestamp", "host", "target", F.coalesce(F.col("before") < p, F.lit(False)).alias("in_topk"))
+    """(idx, ..., in_topk): ok if the probability of everything ranked before the target is under p; the first rank always is.
+
+    Ranks and probabilities are those of the longest context that was trained, of order 2, 1 or 0; a target that never followed it fails.
+    """
+    by = W.partitionBy("order", "c2", "c1").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    every = model.select("order", "c2", "c1", F.col("next").alias("target"), F.coalesce(F.sum("prob").over(by), F.lit(0.0)).alias("b"))
+    two, one, zero = (every.where(f"order = {o}").select(*on, "target", F.col("b").alias(f"b{o}")) for o, on in ((2, ["c2", "c1"]), (1, ["c1"]), (0, [])))
+    rows = pairs.withColumns({"c1": F.element_at("context", -1), "c2": F.try_element_at("context", F.lit(-2))})
+    rows = rows.join(model.where("order = 2").select("c2", "c1").distinct().withColumn("has2", F.lit(True)), ["c2", "c1"], "left")
+    rows = rows.join(model.where("order = 1").select("c1").distinct().withColumn("has1", F.lit(True)), "c1", "left")
+    rows = rows.join(two, ["c2", "c1", "target"], "left").join(one, ["c1", "target"], "left").join(zero, "target", "left")
+    before = F.when(F.col("has2"), F.col("b2")).when(F.col("has1"), F.col("b1")).otherwise(F.col("b0"))
+    return rows.select("idx", "line_no", "timestamp", "host", "target", F.coalesce(before < p, F.lit(False)).alias("in_topk"))
 
 
 def with_sessions(rows: DataFrame, timeout: float = 300.0, entity: str = "host") -> DataFrame:

@@ -120,8 +120,9 @@ def adapt_width(vector: Column, width: int) -> Column:
 
 
 def first_seen(counts: DataFrame) -> DataFrame:
-    """Adds ``is_new``: the window is the first one with this code."""
-    return counts.withColumn("is_new", F.col("window_idx") == F.min("window_idx").over(W.partitionBy("code")))
+    """Adds ``is_new``: the window is the first one with this code.  One row per code is joined, so no task holds all windows of a common code."""
+    first = counts.groupBy(F.col("code").alias("__code")).agg(F.min("window_idx").alias("__first"))
+    return counts.join(first, F.col("code").eqNullSafe(F.col("__code")), "left").withColumn("is_new", F.col("window_idx") == F.col("__first")).drop("__code", "__first")
 
 
 def gaps(log: DataFrame, by: str | None = None) -> DataFrame:

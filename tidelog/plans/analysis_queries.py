@@ -12,7 +12,7 @@ from ..sources import logs
 from ..sources.adapters import events_log
 from .baseline_queries import _DENSE, scores, vectors, windowed, zscores
 from .registry import FEATURES, LOGS, SCORES, WINDOWED, query
-from .sequence_queries import TOPK, pairs
+from .sequence_queries import TOPK, pairs, trained
 from .source_queries import sources
 
 #: lines 101, 302, 503 ... and the ten after each are labelled anomalous
@@ -53,7 +53,7 @@ def e4(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import sequence as seq
 
     p = pairs(spark, sf)
-    return _rounded(evaluate.evaluate_sequences(seq.infer_top_k(p, seq.train(p), 3), labels(spark, sf)))
+    return _rounded(evaluate.evaluate_sequences(seq.infer_top_k(p, trained(p), 3), labels(spark, sf)))
 
 
 ERRORS = WINDOWED + f""", {_DENSE},
@@ -266,7 +266,7 @@ def l6(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import sequence as seq
 
     p = pairs(spark, sf)
-    out = samples.failure_samples(seq.infer_top_k(p, seq.train(p), 3), events_log(spark, sf))
+    out = samples.failure_samples(seq.infer_top_k(p, trained(p), 3), events_log(spark, sf))
     return out.select("idx", "line_no", "target", F.array_join("recent_transitions", "; ").alias("recent_transitions"), F.round("sequence_uniqueness", 7).alias("sequence_uniqueness"))
 
 

@@ -191,7 +191,16 @@ def b11(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.col(c) + 0.0 for c in ("unseen_rate_zscore", "freq_zscore")})
 
 
-@query("b12_incremental_baseline")
+_OLD = SCORES.replace("FROM events)", "FROM events WHERE event_id % 5 < 4)")
+_BOTH = SCORES.replace("FROM events)", "FROM (SELECT * FROM events WHERE event_id % 5 < 4 UNION ALL SELECT * REPLACE (event_id + (SELECT max(event_id) + 1 FROM events WHERE event_id % 5 < 4) AS event_id) FROM events WHERE event_id % 5 = 4))")
+
+
+@query(
+    "b12_incremental_baseline",
+    f"""SELECT a.*, n AS previous_normal_windows, normal_windows - n AS added_normal_windows, round(normal_windows / greatest(n, 1), 7) AS improvement_ratio
+    FROM (WITH RECURSIVE {_BOTH} SELECT {_STATS} FROM scores) a, (WITH RECURSIVE {_OLD} SELECT count(*) FILTER (NOT is_anomaly) AS n FROM scores) b""",
+)
 def b12(spark: SparkSession, sf: str) -> DataFrame:
     log = events_log(spark, sf)
-    return base.incremental(log.where("line_no % 5 < 4"), log.where("line_no % 5 = 4"))
+    out = base.incremental(log.where("line_no % 5 < 4"), log.where("line_no % 5 = 4"))
+    return _round(_round(out, "anomaly_rate", "improvement_ratio"), *[c for c in out.columns if c[:3] in ("mea", "std")], digits=6)

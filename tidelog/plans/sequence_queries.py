@@ -14,18 +14,23 @@ from .registry import WINDOWED, query
 PAIRS = WINDOWED + """,
 triples AS (SELECT pos, line_no, timestamp, host, template_id, code AS target, lag(code) OVER (ORDER BY pos) AS c1, lag(code, 2) OVER (ORDER BY pos) AS c2 FROM coded),
 pairs AS (SELECT * FROM triples WHERE pos >= 50),
-n2 AS (SELECT c2, c1, target AS next, count(*) AS cnt FROM pairs GROUP BY ALL),
+n2 AS (SELECT c2, c1, target AS next, count(*) AS cnt FROM pairs WHERE (pos - 50) % 5 < 4 GROUP BY ALL),
 n1 AS (SELECT c1, next, CAST(sum(cnt) AS BIGINT) AS cnt FROM n2 GROUP BY ALL),
 n0 AS (SELECT next, CAST(sum(cnt) AS BIGINT) AS cnt FROM n1 GROUP BY ALL),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY c2, c1 ORDER BY cnt DESC, next) AS rank FROM n2),
+r2 AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY c2, c1) AS prob, row_number() OVER (PARTITION BY c2, c1 ORDER BY cnt DESC, next) AS rank FROM n2),
 r1 AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY c1) AS prob, row_number() OVER (PARTITION BY c1 ORDER BY cnt DESC, next) AS rank FROM n1),
-r0 AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, next) AS rank FROM n0)"""
+r0 AS (SELECT *, cnt / sum(cnt) OVER () AS prob, row_number() OVER (ORDER BY cnt DESC, next) AS rank FROM n0)"""
 TOPK = PAIRS + """,
 ctx AS (SELECT DISTINCT c2, c1 FROM n2),
 cand AS (SELECT c2, c1, next, 0 AS level, rank FROM r2 WHERE rank <= 3 UNION ALL SELECT c2, c1, next, 1, rank FROM ctx JOIN r1 USING (c1) WHERE rank <= 6 UNION ALL SELECT c2, c1, next, 2, rank FROM ctx, r0 WHERE rank <= 9),
 best AS (SELECT c2, c1, next, min(level * 1000 + rank) AS s FROM cand GROUP BY ALL),
 pred AS (SELECT c2, c1, list(next ORDER BY s)[1:3] AS predicted FROM best GROUP BY ALL),
-verdict AS (SELECT p.*, list_contains(predicted, target) AS in_topk, predicted FROM pairs p LEFT JOIN pred USING (c2, c1))"""
+cand1 AS (SELECT c1, next, 0 AS level, rank FROM r1 WHERE rank <= 3 UNION ALL SELECT c1, r0.next, 1, r0.rank FROM (SELECT DISTINCT c1 FROM n1), r0 WHERE r0.rank <= 6),
+best1 AS (SELECT c1, next, min(level * 1000 + rank) AS s FROM cand1 GROUP BY ALL),
+pred1 AS (SELECT c1, list(next ORDER BY s)[1:3] AS predicted FROM best1 GROUP BY ALL),
+pred0 AS (SELECT list(next ORDER BY rank) AS predicted FROM r0 WHERE rank <= 3),
+chosen AS (SELECT p.*, coalesce(pred.predicted, pred1.predicted, pred0.predicted) AS predicted FROM pairs p LEFT JOIN pred USING (c2, c1) LEFT JOIN pred1 ON pred1.c1 = p.c1, pred0),
+verdict AS (SELECT *, list_contains(predicted, target) AS in_topk FROM chosen)"""
 SESSIONS = TOPK + """,
 gapped AS (SELECT *, CASE WHEN epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY host ORDER BY timestamp, line_no) > 300 * 1000000 THEN 1 ELSE 0 END AS gap FROM verdict),
 sess AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY host ORDER BY timestamp, line_no) AS BIGINT) AS session_no FROM gapped),
@@ -39,25 +44,34 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return win.contexts(win.encode(log, win.vocabulary(log)), 50, keep=2)
 
 
+def trained(p: DataFrame) -> DataFrame:
+    """The model of four fifths of the pairs, so that some contexts are new to it."""
+    return seq.train(p.where("idx % 5 < 4"))
+
+
 @query("d2_successor_counts", f"WITH {PAIRS} SELECT c1, next, cnt, round(prob, 7) AS prob, rank FROM r1 WHERE rank <= 10")
 def d2(spark: SparkSession, sf: str) -> DataFrame:
-    return seq.train(pairs(spark, sf)).where("order = 1 and rank <= 10").select("c1", "next", "cnt", F.round("prob", 7).alias("prob"), F.col("rank").cast("long").alias("rank"))
+    return trained(pairs(spark, sf)).where("order = 1 and rank <= 10").select("c1", "next", "cnt", F.round("prob", 7).alias("prob"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("d3_top_k", f"WITH {TOPK} SELECT pos - 50 AS idx, line_no, target, in_topk, predicted[1] AS predicted_top1, predicted[2] AS predicted_top2, predicted[3] AS predicted_top3 FROM verdict")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
     p = pairs(spark, sf)
-    out = seq.infer_top_k(p, seq.train(p), 3)
+    out = seq.infer_top_k(p, trained(p), 3)
     return out.select("idx", "line_no", "target", "in_topk", *[F.col("predicted")[i].alias(f"predicted_top{i + 1}") for i in range(3)])
 
 
 @query(
     "d4_top_p",
-    f"WITH {PAIRS}, c AS (SELECT c1, next AS target, coalesce(sum(prob) OVER (PARTITION BY c1 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, rank FROM r1) SELECT pos - 50 AS idx, line_no, target, coalesce(before < 0.4, false) AS in_topk FROM pairs LEFT JOIN c USING (c1, target)",
+    f"""WITH {PAIRS}, c2s AS (SELECT c2, c1, next AS target, coalesce(sum(prob) OVER (PARTITION BY c2, c1 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b2 FROM r2),
+    c1s AS (SELECT c1, next AS target, coalesce(sum(prob) OVER (PARTITION BY c1 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b1 FROM r1),
+    c0s AS (SELECT next AS target, coalesce(sum(prob) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0 FROM r0)
+    SELECT pos - 50 AS idx, line_no, target, coalesce(CASE WHEN (c2, c1) IN (SELECT (c2, c1) FROM n2) THEN b2 WHEN c1 IN (SELECT c1 FROM n1) THEN b1 ELSE b0 END < 0.4, false) AS in_topk
+    FROM pairs LEFT JOIN c2s USING (c2, c1, target) LEFT JOIN c1s USING (c1, target) LEFT JOIN c0s USING (target)""",
 )
 def d4(spark: SparkSession, sf: str) -> DataFrame:
     p = pairs(spark, sf)
-    return seq.infer_top_p(p, seq.train(p), 0.4).select("idx", "line_no", "target", "in_topk")
+    return seq.infer_top_p(p, trained(p), 0.4).select("idx", "line_no", "target", "in_topk")
 
 
 @query("d5_novelty", f"WITH {WINDOWED} SELECT line_no, host, template_id FROM coded WHERE code % 7 = 3")
@@ -69,7 +83,7 @@ def d5(spark: SparkSession, sf: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf: str, timeout: float = 300.0) -> DataFrame:
     p = pairs(spark, sf)
-    rows = seq.infer_top_k(p, seq.train(p), 3).withColumnRenamed("in_topk", "prediction_ok")
+    rows = seq.infer_top_k(p, trained(p), 3).withColumnRenamed("in_topk", "prediction_ok")
     return seq.with_sessions(rows, timeout)
 
 

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drain, synth
+from ..operators import drain, synth, tables
 from ..operators import sequence as seq
 from ..operators import windows as win
 from ..functions import masking
 from ..sources.adapters import document_lines, events_log, probe_lines, table
 from ..streaming import scorer
 from .registry import query
-from .sequence_queries import PAIRS, pairs
+from .sequence_queries import PAIRS, pairs, trained
 
 _STREAM = PAIRS + """,
 known AS (SELECT pos, line_no, host, code, row_number() OVER (PARTITION BY host ORDER BY pos) - 1 AS seen, lag(code) OVER (PARTITION BY host ORDER BY pos) AS c1, lag(code, 2) OVER (PARTITION BY host ORDER BY pos) AS c2 FROM coded WHERE code % 7 <> 3),
@@ -30,7 +28,7 @@ SELECT line_no, key, reason, reason IN ('unknown_template', 'not_predicted') AS
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     p = pairs(spark, sf)
-    return seq.predictions(seq.train(p), 3)
+    return seq.predictions(trained(p), 3)
 
 
 def _coded(log: DataFrame, words: DataFrame) -> DataFrame:
@@ -48,20 +46,18 @@ def z_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("z1_z4_stream_scorer", f"WITH {_STREAM}")
 def z_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events file as a stream, scored in one available-now run and read back from its sink."""
-    folder = tempfile.mkdtemp(prefix="tidelog-stream-")
-    atexit.register(shutil.rmtree, folder, True)
+    """The events file as a stream, scored in one available-now run; verdicts are the stream's own, read from its sink."""
+    folder = f"{tables.folder(spark)}/stream-{uuid.uuid4().hex}"
     log = events_log(spark, sf)
-    words = spark.createDataFrame(win.vocabulary(log).collect(), "template string, index long")
+    words, predictions = tables.written(win.vocabulary(log), "words"), tables.written(_predictions(spark, sf), "predictions")
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("long")
     lines = stream.select(F.col("event_id").alias("line_no"), F.col("ts").alias("timestamp"), F.concat(F.lit("h"), (F.col("user_id") % 8).cast("string")).alias("host"), F.concat_ws("_", "event_type", (k % 4).cast("string")).alias("template"))
-    context = scorer.contexts(_coded(lines, words))
-    query = context.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    found = scorer.verdicts(scorer.contexts(_coded(lines, words)), predictions)
+    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = scorer.verdicts(spark.read.schema(scorer.CONTEXTS).parquet(f"{folder}/out"), _predictions(spark, sf))
-    return found.select("line_no", "key", "reason", "is_anomaly", "confidence")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").select("line_no", "key", "reason", "is_anomaly", "confidence")
 
 
 @query("t1_drain_exact")

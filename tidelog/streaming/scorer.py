@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,23 +21,26 @@ UNKNOWN, VIOLATION, NORMAL = 0.8, 0.9, 0.1
 
 def _contexts(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
     buffer, seen = state.get if state.exists else ([], 0)
-    buffer = list(buffer)
-    rows = pd.concat(list(batches)).sort_values(["timestamp", "line_no"], kind="stable", na_position="first")
-    out = []
-    for line, time, index in zip(rows["line_no"], rows["timestamp"], rows["template_index"], strict=True):
-        known = index is not None and not pd.isna(index)
-        c2, c1 = (buffer[-2] if len(buffer) > 1 else None, buffer[-1] if buffer else None)
-        out.append((key[0], line, time, int(index) if known else None, c2, c1, seen))
-        if known:
-            buffer = [*buffer, int(index)][-2:]
-            seen += 1
-    state.update((buffer, seen))
-    frame = pd.DataFrame(out, columns=["key", "line_no", "timestamp", "template_index", "c2", "c1", "seen"])
-    yield frame.astype({"template_index": "Int64", "c2": "Int64", "c1": "Int64"}).reset_index(drop=True)
+    rows = pd.concat(list(batches)).sort_values(["timestamp", "line_no"], kind="stable", na_position="first", ignore_index=True)
+    known = rows["template_index"].notna().to_numpy()
+    values = np.concatenate([np.array(list(buffer), dtype=np.int64), rows["template_index"][known].to_numpy(dtype=np.int64)])
+    before = np.cumsum(known) - known  # known lines of this batch before each
+    at = len(buffer) + before
+
+    def back(steps: int) -> pd.Series:
+        there = at >= steps
+        return pd.Series(np.append(values, 0)[np.where(there, at - steps, -1)], dtype="Int64").where(there)
+
+    state.update((values[-2:].tolist(), int(seen + known.sum())))
+    index = pd.Series(rows["template_index"].to_numpy(), dtype="Int64")
+    yield pd.DataFrame({"key": key[0], "line_no": rows["line_no"], "timestamp": rows["timestamp"], "template_index": index, "c2": back(2), "c1": back(1), "seen": seen + before})
 
 
 def contexts(lines: DataFrame) -> DataFrame:
-    """Of a stream (key, line_no, timestamp, template_index): each line with the two known templates before it."""
+    """Of a stream (key, line_no, timestamp, template_index): each line with the two known templates before it.
+
+    A key's lines of one micro-batch are put in order by one worker; limit what a trigger reads where keys are hot.
+    """
     return lines.groupBy("key").applyInPandasWithState(_contexts, CONTEXTS, STATE, "append", "NoTimeout")
 
 
@@ -55,7 +59,7 @@ def batch_contexts(lines: DataFrame) -> DataFrame:
 
 
 def verdicts(context: DataFrame, predictions: DataFrame, length: int = 50) -> DataFrame:
-    """(key, line_no, timestamp, is_anomaly, confidence, reason): ``predictions`` as from ``sequence.predictions``."""
+    """(key, line_no, timestamp, is_anomaly, confidence, reason) of a table or a stream: ``predictions``, a table, as from ``sequence.predictions``."""
     found = context.join(predictions, ["c2", "c1"], "left")
     unknown, warm = F.col("template_index").isNull(), F.col("seen") < length
     hit = F.coalesce(F.array_contains("predicted", F.col("template_index")), F.lit(False))
