@@ -2,6 +2,11 @@
 
 Each stage takes what the one before it kept, written as Parquet and read again; all but the last
 return the columns of ``documents``.
+
+Defined cases, over all stages: documents with a null, empty or unlettered text go in the first; a null doc_id, lang or source stays (such a
+document is never a near-duplicate and repeats nothing; a null source is a source of its own); equal rows are one document to the two dedup stages, which keep or
+treat them alike, and are drawn and packed each; of equal or similar documents the one with the smallest doc_id stays; texts of any length, and any length of white space in
+them, are read whole; extra columns keep their values, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ scored over its whole text, and those whose score is under the corpus quantile `
 be kept.  The quantile is exact on scores rounded to ``GRID``: counts per grid step over all documents, so nothing
 is sampled or gathered but one row per step that occurs.
 
-Defined cases: null and empty texts have no score and aren't kept; where labels hold no pair of both
+Defined cases: null and empty texts have no score and aren't kept; a text of white space only has words, marks and letters of share 0 and the score of
+such features; texts of any length are read whole; a row with a null doc_id is scored like any other and never a training row; rows on the quantile (ties) are all kept; where labels hold no pair of both
 kinds with text, scores are null and every other document is kept; repeated rows get equal scores; extra columns
 are ignored by :func:`scored` and kept by :func:`keep_good`.
 """
