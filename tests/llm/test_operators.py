@@ -542,6 +542,40 @@ def test_ranking_separates_held_out_documents(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.keep)
 
 
+def slow_features(text: str) -> list[float]:
+    """The features of one text, with Python's own strings."""
+    data, w = text.encode(), [x for x in text.encode().translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ") if x]
+    n, size = max(len(w), 1), max(len(data), 1)
+    share = lambda chars: sum(c in chars for c in data) / size
+    lines = [tuple(line.translate(bytes.maketrans(b"\t\v\f\r", b"    ")).split()) for line in data.split(b"\n")]
+    lines = [x for x in lines if x]
+    return [
+        math.log1p(len(w)), sum(map(len, w)) / n, share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#$%&*+/<=>@\\^_`{|}~[]"), share(b'!?:;"()-'), share(b".,"),
+        sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / math.sqrt(n), (len(lines) - len(set(lines))) / max(len(lines), 1), sum(len(x) <= 2 for x in w) / n, sum(len(x) >= 15 for x in w) / n,
+    ]
+
+
+def test_query_matches_slow_version(spark):
+    """The whole of op7 on the smallest tables: features by Python, Newton steps on the pairs restated, the quantile by sorting."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(documents(spark, [(None, "No id here."), (9001, " \n\t "), (9002, words(5, 30_000))]).select("doc_id", "text"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    x = {i: np.array(slow_features(t or "")) for i, t in text.items()}
+    rated = sorted((r.doc_id, r.quality) for r in labels.collect() if r.quality is not None and text.get(r.doc_id))
+    f, good = np.array([x[i] for i, _ in rated]), np.array([q > 0 for _, q in rated])
+    model = quality.train(f, good)
+    d = np.array([a - b for a in np.clip((f[good] - f.mean(axis=0)) / (f.std(axis=0) + 1e-9), -6, 6) for b in np.clip((f[~good] - f.mean(axis=0)) / (f.std(axis=0) + 1e-9), -6, 6)])
+    assert len(d) > quality.PAIRS or np.abs(d.T @ (1 / (1 + np.exp(-d @ model.weights)) - 1) + quality.RIDGE * model.weights).max() < 1e-4
+    score = {i: round(float(model.score(v[None])[0]) / quality.GRID) * quality.GRID for i, v in x.items() if text[i]}
+    limit = sorted(score.values())[math.ceil(quality.QUANTILE * len(score)) - 1]
+    got = {r.doc_id: r for r in quality.scored(docs, labels).collect()}
+    assert set(got) == set(text)
+    for i, r in got.items():
+        assert (r.score is None and not r.keep) if i not in score else abs(r.score - score[i]) <= quality.GRID + 1e-9
+    close = [i for i in score if abs(score[i] - limit) > 2 * quality.GRID]
+    assert all(got[i].keep == (score[i] >= limit) for i in close) and len(close) > 0.8 * len(score)
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = ["one two two.\nline\nline", "", None, "A B C!! | | x9", words(1, 50)]
     together = quality.features(pa.array(texts))
