@@ -113,7 +113,7 @@ def reconstruction_samples(found: DataFrame, log: DataFrame, n: int = 20, size:
 def template_samples(log: DataFrame, templates: DataFrame, n: int = 3) -> DataFrame:
     """(template_id, line_no, raw): up to n lines of each listed template, chosen by a hash, the same every time."""
     lines = log.join(F.broadcast(templates.select("template_id").distinct()), "template_id")
-    by = W.partitionBy("template_id").orderBy(F.xxhash64("line_no"), "line_no")
+    by = W.partitionBy("template_id").orderBy(F.md5(F.col("line_no").cast("string")), "line_no")
     return lines.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= n).select("template_id", "line_no", "raw")
 
 

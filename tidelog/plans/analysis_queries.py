@@ -277,7 +277,7 @@ def l8(spark: SparkSession, sf: str) -> DataFrame:
     return samples.spaced_samples(events_log(spark, sf), is_error("raw"))
 
 
-@query("l8_template_samples")
+@query("l8_template_samples", f"WITH {WINDOWED} SELECT template_id, line_no, raw FROM coded WHERE code % 5 = 0 QUALIFY row_number() OVER (PARTITION BY template_id ORDER BY md5(line_no::VARCHAR), line_no) <= 3")
 def l8_templates(spark: SparkSession, sf: str) -> DataFrame:
     log = events_log(spark, sf)
     return samples.template_samples(log, win.vocabulary(log).where("index % 5 = 0").select(F.col("template").alias("template_id")))

@@ -114,7 +114,7 @@ def _enhanced(spark: SparkSession, sf: str, top_p: float | None = None) -> tuple
     words = win.vocabulary(log).where("index % 7 <> 3")
     p = win.contexts(win.encode(log, words), 50, keep=2)
     config = seq.AlertConfig(top_p=top_p, session_timeout=86400.0, cooldown_sequence=3600.0, cooldown_novelty=3600.0)
-    return seq.infer_enhanced(log, words, seq.train(p), config)
+    return seq.infer_enhanced(log, words, trained(p), config)
 
 
 _NOVEL = """nov AS (SELECT template_id, host || template_id AS sig, line_no, epoch_us(timestamp) AS t, timestamp, row_number() OVER (PARTITION BY host, template_id ORDER BY timestamp, line_no) AS r FROM coded WHERE code % 7 = 3),
@@ -127,24 +127,63 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
     return seq.novelty_aggregation(_enhanced(spark, sf)[1])
 
 
-@query("d10_enhanced_detail")
+_KNOWN = TOPK.replace("triples AS (", "known AS (SELECT * REPLACE (row_number() OVER (ORDER BY pos) - 1 AS pos) FROM coded WHERE code % 7 <> 3),\ntriples AS (").replace("AS c2 FROM coded)", "AS c2 FROM known)")
+_BEFORE = "coalesce(sum(prob) OVER (PARTITION BY {} ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+_TOP_P = _KNOWN.replace("verdict AS (SELECT *, list_contains(predicted, target) AS in_topk FROM chosen)", f"""c2s AS (SELECT c2, c1, next AS target, {_BEFORE.format("c2, c1")} AS b2 FROM r2),
+c1s AS (SELECT c1, next AS target, {_BEFORE.format("c1")} AS b1 FROM r1),
+c0s AS (SELECT next AS target, {_BEFORE.format("1")} AS b0 FROM r0),
+verdict AS (SELECT pairs.*, coalesce(CASE WHEN (c2, c1) IN (SELECT (c2, c1) FROM n2) THEN b2 WHEN c1 IN (SELECT c1 FROM n1) THEN b1 ELSE b0 END < 0.9, false) AS in_topk
+            FROM pairs LEFT JOIN c2s USING (c2, c1, target) LEFT JOIN c1s USING (c1, target) LEFT JOIN c0s USING (target))""")
+_DETAIL = """,
+judged AS (SELECT line_no, timestamp, host, target, NULL::VARCHAR AS template, false AS is_novel, in_topk AS prediction_ok FROM verdict
+  UNION ALL SELECT line_no, timestamp, host, NULL, template_id, true, true FROM coded WHERE code % 7 = 3),
+parted AS (SELECT *, CASE WHEN epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY host ORDER BY timestamp, line_no) > 86400 * 1000000::BIGINT THEN 1 ELSE 0 END AS gap FROM judged),
+seated AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY host ORDER BY timestamp, line_no) AS BIGINT) AS session_no FROM parted),
+detail AS (SELECT * EXCLUDE (gap), substr(md5(host || ':' || session_no), 1, 8) AS session_id, list(NOT prediction_ok) OVER w AS recent,
+    sum(CASE WHEN prediction_ok THEN 0 ELSE 1 END) OVER w >= 7 AND row_number() OVER (PARTITION BY host, session_no ORDER BY timestamp, line_no) >= 10 AND NOT prediction_ok AS k_of_n_triggered
+  FROM seated WINDOW w AS (PARTITION BY host, session_no ORDER BY timestamp, line_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
+_ALERTS = _KNOWN + _DETAIL + """,
+proposed AS (SELECT *, host || ':SEQ_FAIL' AS signature, 'SEQ_FAIL' AS alert_type, NULL::VARCHAR AS template_id FROM detail WHERE k_of_n_triggered
+  UNION ALL SELECT *, host || ':NOVELTY:' || template, 'NOVELTY', template FROM detail WHERE is_novel),
+queued AS (SELECT *, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY signature ORDER BY timestamp, line_no) AS r FROM proposed),
+kept AS (SELECT signature, r, t AS last, true AS alerted FROM queued WHERE r = 1
+  UNION ALL SELECT q.signature, q.r, CASE WHEN q.t - k.last >= 3600 * 1000000::BIGINT THEN q.t ELSE k.last END, q.t - k.last >= 3600 * 1000000::BIGINT FROM kept k JOIN queued q ON q.signature = k.signature AND q.r = k.r + 1),
+alerts AS (SELECT queued.*, row_number() OVER (PARTITION BY signature ORDER BY r) = 1 AS first_occurrence FROM queued JOIN kept USING (signature, r) WHERE alerted)"""
+_SHOWN = "line_no, timestamp, host, target, template, is_novel, prediction_ok, session_no, session_id, k_of_n_triggered"
+
+
+@query("d10_enhanced_detail", f"WITH {_KNOWN}{_DETAIL} SELECT {_SHOWN} FROM detail")
 def d10_detail(spark: SparkSession, sf: str) -> DataFrame:
     return _enhanced(spark, sf)[0].drop("recent_failures")
 
 
-@query("d10_enhanced_detail_top_p")
+@query("d10_enhanced_detail_top_p", f"WITH {_TOP_P}{_DETAIL} SELECT {_SHOWN} FROM detail")
 def d10_detail_top_p(spark: SparkSession, sf: str) -> DataFrame:
     return _enhanced(spark, sf, 0.9)[0].drop("recent_failures")
 
 
-@query("d10_enhanced_alerts")
+@query(
+    "d10_enhanced_alerts",
+    f"""WITH RECURSIVE {_ALERTS} SELECT md5(signature || ':' || line_no) AS alert_id, timestamp, line_no, host AS entity, alert_type, template_id, session_id,
+    CASE WHEN alert_type = 'SEQ_FAIL' THEN CAST(len(list_filter(recent, lambda x: x)) AS INT) END AS k_of_n_failures, target AS target_template_idx, is_novel,
+    array_to_string(list_transform(recent, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS recent_failures, first_occurrence FROM alerts""",
+)
 def d10_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return _enhanced(spark, sf)[1]
+    """The alerts, their details as columns."""
+    found = _enhanced(spark, sf)[1].select("*", "details.*").drop("details")
+    return found.withColumn("recent_failures", F.array_join(F.transform("recent_failures", lambda x: F.when(x, "1").otherwise("0")), ""))
 
 
-@query("d10_enhanced_summary")
+@query(
+    "d10_enhanced_summary",
+    f"""WITH RECURSIVE {_ALERTS}, n AS (SELECT count(*) FILTER (alert_type = 'SEQ_FAIL') AS seq_fail_alerts, count(*) FILTER (alert_type = 'NOVELTY') AS novelty_alerts FROM alerts)
+    SELECT count(*) AS total_sequences, count(*) FILTER (NOT prediction_ok) AS failures, count(*) FILTER (is_novel) AS novel, count(*) FILTER (k_of_n_triggered) AS k_of_n,
+    count(DISTINCT session_id) AS sessions, any_value(seq_fail_alerts) AS seq_fail_alerts, any_value(novelty_alerts) AS novelty_alerts FROM detail, n""",
+)
 def d10_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _enhanced(spark, sf)[2]
+    """The totals, with the map of alerts by type as columns."""
+    number = lambda kind: F.coalesce(F.try_element_at("alerts_by_type", F.lit(kind)), F.lit(0)).cast("long")
+    return _enhanced(spark, sf)[2].select("*", number("SEQ_FAIL").alias("seq_fail_alerts"), number("NOVELTY").alias("novelty_alerts")).drop("alerts_by_type")
 
 
 @query("d1_lstm_top_k")

@@ -90,16 +90,16 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
     return drain.without_miner(events_log(spark, sf).select("line_no"))
 
 
-@query("y1_synthetic_log")
+@query("y1_synthetic_log", synth.oracle(5000))
 def y1(spark: SparkSession, sf: str) -> DataFrame:
     return synth.generate(spark, 5000)
 
 
-@query("y2_training_log")
+@query("y2_training_log", synth.oracle(10_000, 0.0))
 def y2(spark: SparkSession, sf: str) -> DataFrame:
     return synth.training(spark, 10_000)
 
 
-@query("y3_anomaly_log")
+@query("y3_anomaly_log", synth.oracle(1_500, 0.15, 44, kinds=tuple(synth.KINDS), bursts=True))
 def y3(spark: SparkSession, sf: str) -> DataFrame:
     return synth.inference_anomaly(spark)
