@@ -220,6 +220,22 @@ def test_drain_clusters(spark):
     assert final[0] == final[1] == "job <NUM> done <*>" and final[5] is None
 
 
+def test_drain_in_parallel_numbers_like_one_pass(spark):
+    """Messages of many lengths, with odd white space and a state to start from, against a miner that reads them one after the other."""
+    rng = np.random.default_rng(4)
+    names = ["alpha", "beta", "gamma", "n7", "<NUM>"]
+    lines = [" ".join(rng.choice(names, int(rng.integers(0, 9)))).replace(" ", "\u00a0" if i % 11 == 0 else "\x1c" if i % 7 == 0 else "  ") if i % 13 else None for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, masked string").repartition(5)
+    state = drain.clusters(drain.mine(df.where("line_no < 60")))
+    known = [(r.cluster_id, list(r.tokens), r["size"]) for r in state.collect()]
+    for start, got in (([], drain.mine(df)), (known, drain.mine(df, state=state))):
+        miner, want = drain.Miner(clusters=start), []
+        for i, text in enumerate(lines):
+            c = miner.add(text) if text is not None else None
+            want.append((i, text, c and str(c.number), c and " ".join(c.tokens)))
+        assert [tuple(r) for r in got.orderBy("line_no").collect()] == want
+
+
 def test_drain_by_source_is_independent(spark):
     df = spark.createDataFrame([(i, f"s{i % 2}", f"alpha beta {i % 2} gamma") for i in range(10)], "line_no long, source string, masked string")
     assert {r.template_id for r in drain.mine(df, source="source").collect()} == {"1"}
@@ -405,8 +421,10 @@ def test_quantiles_are_exact(spark, n):
     rng = np.random.default_rng(n)
     for values in (rng.normal(size=n), np.round(rng.exponential(size=n), 1)):
         df = spark.createDataFrame(pd.DataFrame({"x": values})).unionByName(spark.createDataFrame([(None,)], "x double")).repartition(3)
-        for q in (0.0, 0.5, 0.95, 0.999, 1.0):
-            assert np.isclose(tables.quantile(df, "x", q, "v").first().v, np.quantile(values, q), rtol=1e-12)
+        shares = {f"q{i}": q for i, q in enumerate((0.0, 0.5, 0.5001, 0.95, 0.999, 1.0))}
+        got = tables.quantiles(df, "x", shares).first()
+        assert all(np.isclose(got[name], np.quantile(values, q), rtol=1e-12) for name, q in shares.items())
+        assert np.isclose(tables.quantile(df, "x", 0.95, "v").first().v, got.q3, rtol=0)
     assert tables.quantile(df.where("x is null"), "x", 0.5, "v").first().v is None
 
 

@@ -3,7 +3,8 @@
 Mining is sequential by nature: what a line matches depends on the lines before it.  Two modes:
 
 * :func:`mine` reads every line of a source in order and gives each the template as it stood at that
-  line.  Sources are mined in parallel, each with a state of its own.
+  line.  The first level of the tree is the number of tokens, so no cluster ever crosses it: sources and, inside them, messages of each
+  length are mined in parallel, and clusters are numbered afterwards in the order of their first lines, as one pass would have numbered them.
 * :func:`mine_distinct` reads each distinct message once, in the order of first lines, and joins the
   final templates back.  It moves far less through Python; repeated messages can't change clusters
   and templates aren't snapshots, so results may differ from :func:`mine` where clusters merged late.
@@ -16,10 +17,15 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import written
+
 WILD = "<*>"
+#: What Python's str.split takes for white space.
+BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
 @dataclass(frozen=True)
@@ -99,24 +105,32 @@ def mine(log: DataFrame, params: DrainParams = DrainParams(), state: DataFrame |
 
     ``state``: clusters (cluster_id, tokens, size) to start from, one row per template.
     """
-    known = [(r.cluster_id, list(r.tokens), r.size) for r in state.collect()] if state is not None else None
-    rows = log.drop("template_id", "template").withColumn("__source", F.col(source) if source else F.lit(""))
-    schema = T.StructType([*log.drop("template_id", "template").schema.fields, T.StructField("template_id", T.StringType()), T.StructField("template", T.StringType())])
+    known = [(r.cluster_id, list(r.tokens), r.size) for r in state.collect()] if state is not None else []  # a row per template
+    base = max((k[0] for k in known), default=0)
+    plain = log.drop("template_id", "template")
+    rows = plain.withColumns({"__source": F.col(source) if source else F.lit(""), "__n": F.size(F.array_remove(F.split("masked", BLANK), ""))})
+    schema = T.StructType([*rows.schema.fields, T.StructField("__own", T.LongType()), T.StructField("template", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, miner = None, Miner(params, known)
         for batch in batches:
             ids, names = [], []
-            for s, text in zip(batch["__source"], batch["masked"], strict=True):
-                if s != current:
-                    current, miner = s, Miner(params, known)
+            for s, n, text in zip(batch["__source"], batch["__n"], batch["masked"], strict=True):
+                if (s, n) != current:
+                    current, miner = (s, n), Miner(params, known)
                 cluster = miner.add(text) if isinstance(text, str) else None
-                ids.append(str(cluster.number) if cluster else None)
+                ids.append(cluster.number if cluster else None)
                 names.append(" ".join(cluster.tokens) if cluster else None)
-            yield batch.drop(columns="__source").assign(template_id=ids, template=names)
-
-    placed = rows.repartition("__source").sortWithinPartitions("__source", "line_no")
-    return placed.mapInPandas(run, schema)
+            yield batch.assign(__own=pd.Series(ids, index=batch.index, dtype="Int64"), template=names)
+
+    placed = rows.repartition("__source", "__n").sortWithinPartitions("__source", "__n", "line_no")
+    mined = written(placed.mapInPandas(run, schema), "mined")
+    key = ["__source", "__n", "__own"]
+    fresh = mined.where(F.col("__own") > base).groupBy(*key).agg(F.min("line_no").alias("__first"))
+    number = F.row_number().over(W.partitionBy("__source").orderBy("__first", "__n", "__own")) + base
+    numbers = fresh.select(*[F.col(c).alias(f"{c}_") for c in key], number.alias("__number"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]
+    return mined.join(numbers, same, "left").select(*plain.columns, F.coalesce("__number", "__own").cast("string").alias("template_id"), "template")
 
 
 def clusters(mined: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import quantile, written
+from .tables import quantile, quantiles, written
 
 METHODS = {"99percentile": "threshold_99", "95percentile": "threshold_95", "99.9percentile": "threshold_99_9", "3sigma": "threshold_3sigma", "mad": "threshold_mad"}
 
@@ -49,9 +49,8 @@ def threshold_stats(errors: DataFrame, column: str = "reconstruction_error") ->
     e = F.col(column)
     errors = written(errors.select(column), "errors")
     base = errors.agg(F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"))
-    for q, name in ((0.95, "threshold_95"), (0.99, "threshold_99"), (0.999, "threshold_99_9"), (0.5, "median")):
-        base = base.crossJoin(F.broadcast(quantile(errors, column, q, name)))
-    base = written(base, "stats")
+    shares = quantiles(errors, column, {"threshold_95": 0.95, "threshold_99": 0.99, "threshold_99_9": 0.999, "median": 0.5})
+    base = written(base.crossJoin(F.broadcast(shares)), "stats")
     away = errors.crossJoin(F.broadcast(base.select("median"))).select(F.abs(e - F.col("median")).alias("away"))
     stats = base.crossJoin(F.broadcast(quantile(away, "away", 0.5, "mad")))
     return stats.select("threshold_95", "threshold_99", "threshold_99_9", "mean", "std", "median", "mad", (F.col("mean") + 3 * F.col("std")).alias("threshold_3sigma"), (F.col("median") + 3 * 1.4826 * F.col("mad")).alias("threshold_mad"))

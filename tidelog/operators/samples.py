@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import is_error, is_warning, reconstruction_severity
 from . import windows as win
+from .tables import quantiles, written
 
 
 def top_anomalies(scores: DataFrame, n: int = 20, score: str = "score", key: str = "window_start_line") -> DataFrame:
@@ -128,11 +129,12 @@ def spaced_samples(log: DataFrame, condition: Column, n: int = 5) -> DataFrame:
 def error_stats(found: DataFrame) -> DataFrame:
     """One row over (reconstruction_error, is_anomaly)."""
     e = F.col("reconstruction_error")
-    q = lambda p: F.percentile(e, F.lit(p))
-    return found.agg(
+    found = written(found.select("reconstruction_error", "is_anomaly"), "errors")
+    out = found.agg(
         F.count("*").alias("total_windows"), F.count_if("is_anomaly").alias("anomalous_windows"), F.avg(F.col("is_anomaly").cast("double")).alias("anomaly_rate"), F.avg(e).alias("mean"), F.stddev_samp(e).alias("std"),
-        F.min(e).alias("min"), F.max(e).alias("max"), q(0.5).alias("median"), q(0.75).alias("q75"), q(0.95).alias("q95"), q(0.99).alias("q99"),
+        F.min(e).alias("min"), F.max(e).alias("max"),
     )
+    return out.crossJoin(F.broadcast(quantiles(found, "reconstruction_error", {"median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99})))
 
 
 def anomaly_patterns(found: DataFrame, counts: DataFrame, n: int = 20, top: int = 5) -> DataFrame:

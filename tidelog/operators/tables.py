@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,23 +31,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def quantile(rows: DataFrame, column: str, q: float, name: str) -> DataFrame:
-    """One row: the exact quantile (linear between neighbours) of the values that aren't null; null if there are none.
+    """One row: one of :func:`quantiles`."""
+    return quantiles(rows, column, {name: q})
 
-    A sketch, whose ranks are off by one in ACCURACY at most, gives bounds between which the quantile lies for certain (least and greatest value,
+
+def quantiles(rows: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row: exact quantiles (linear between neighbours) of the values that aren't null, by name; null if there are none.
+
+    A sketch, whose ranks are off by one in ACCURACY at most, gives bounds between which each quantile lies for certain (least and greatest value,
     where there are so few values that the neighbours' distance counts).  Values outside are only counted; of those between, a few in ACCURACY and
     ties, each different value is one row with its count, and only these rows are put in order.
     """
     values = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    edge = 2 / ACCURACY
-    few = F.count("*") < 2 * ACCURACY
-    low = F.when(few, F.min("v")).otherwise(F.min("v") if q <= edge else F.percentile_approx("v", q - edge, ACCURACY))
-    high = F.when(few, F.max("v")).otherwise(F.max("v") if q >= 1 - edge else F.percentile_approx("v", q + edge, ACCURACY))
-    ends = values.agg(low.alias("low"), high.alias("high"))
-    side = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") > F.col("high"), 2).otherwise(1)
-    counts = values.crossJoin(F.broadcast(ends)).groupBy(side.alias("side"), F.when(side == 1, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy("side", "v").rowsBetween(W.unboundedPreceding, 0))
-    ordered = counts.select("v", upto.alias("upto"), (F.lit(q) * (F.sum("n").over(W.partitionBy()) - 1)).alias("at"))
-    lower, upper = (F.min(F.when(F.col("upto") > edge_of("at"), F.struct("upto", "v")))["v"] for edge_of in (F.floor, F.ceil))
-    got = ordered.agg(F.max("at").alias("at"), lower.alias("a"), upper.alias("b"))
-    between = (F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")
-    return got.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias(name))
+    edge, few = 2 / ACCURACY, F.count("*") < 2 * ACCURACY
+    sketch = F.percentile_approx("v", [min(max(q + d, 0.0), 1.0) for q in wanted.values() for d in (-edge, edge)], ACCURACY)
+    ends = values.agg(few.alias("few"), F.min("v").alias("least"), F.max("v").alias("most"), sketch.alias("at"))
+    low = [F.when(F.col("few") | F.lit(q <= edge), F.col("least")).otherwise(F.col("at")[2 * i]) for i, q in enumerate(wanted.values())]
+    high = [F.when(F.col("few") | F.lit(q >= 1 - edge), F.col("most")).otherwise(F.col("at")[2 * i + 1]) for i, q in enumerate(wanted.values())]
+    bounds = F.broadcast(ends.select(F.array(*low).alias("low"), F.array(*high).alias("high")))
+    v = F.col("v")
+    total = lambda array, test: F.aggregate(array, F.lit(0), lambda n, x: n + test(x).cast("int"))
+    part = total("low", lambda x: v >= x) + total("high", lambda x: v > x)  # grows with v
+    inside = F.exists(F.arrays_zip("low", "high"), lambda x: (v >= x["low"]) & (v <= x["high"]))
+    counts = values.crossJoin(bounds).groupBy(part.alias("part"), F.when(inside, v).alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.orderBy("part", "v").rowsBetween(W.unboundedPreceding, 0))
+    ordered = counts.select("v", upto.alias("upto"), (F.sum("n").over(W.partitionBy()) - 1).alias("last"))
+    place = {name: F.lit(q) * F.col("last") for name, q in wanted.items()}
+    neighbours = [F.min(F.when(F.col("upto") > f(place[name]), F.struct("upto", "v")))["v"].alias(f"{k}_{name}") for name in wanted for k, f in (("a", F.floor), ("b", F.ceil))]
+    got = ordered.agg(F.max("last").alias("last"), *neighbours)
+
+    def between(name: str) -> Column:
+        a, b, at = F.col(f"a_{name}"), F.col(f"b_{name}"), place[name]
+        return F.when(a == b, a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b)
+
+    return got.select(*[between(name).alias(name) for name in wanted])
