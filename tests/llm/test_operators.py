@@ -677,6 +677,58 @@ def test_ties_go_to_smaller_ids(spark):
     assert got.groupby("vec_id")["neighbour_id"].apply(list).tolist() == want
 
 
+def test_postings_and_answers_stay_in_proportion_to_the_vectors(spark, monkeypatch):
+    """Data without structure: a vector isn't copied to lists in the direction of its own, and a query has one answer from a shard, not one from each list."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 16)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x[:20]
+    for _ in range(3):
+        own = ann.squared(x, c).argmin(axis=1)
+        c = np.array([x[own == i].mean(axis=0) for i in range(20)])
+    assert len(ann.lists_of(ann.Graph.build(c), x)[0]) < 1.3 * len(x)
+    rows = []
+    merged = ann.merged
+    monkeypatch.setattr(ann, "merged", lambda found, k: (rows.append(found.count()), merged(found, k))[1])
+    ann.neighbours(vectors(spark, x))
+    assert rows[0] <= len(x) * 2 * spark.sparkContext.defaultParallelism  # there are 57 lists
+
+
+def test_nearest_centroids_by_cells(monkeypatch):
+    rng = np.random.default_rng(2)
+    c = ((rng.normal(size=(12, 16)) * 4)[rng.integers(0, 12, 400)] + rng.normal(size=(400, 16))).astype(np.float32)
+    q = c[rng.integers(0, 400, 200)] + rng.normal(size=(200, 16)).astype(np.float32) / 4
+    want = ann.Graph.build(c).nearest(q)
+    monkeypatch.setattr(ann, "FLAT", 0)
+    graph = ann.Graph.build(c)
+    node, dist = graph.nearest(q)
+    assert (np.diff(dist, axis=1) >= 0).all() and all(len(set(r)) == len(r) for r in node)
+    assert (node[:, 0] == want[0][:, 0]).mean() >= 0.97
+    for ratio in (0.2, np.inf):
+        a, b = graph.search(q, ratio), ann.Graph.within(ann.Graph(**(vars(graph) | {"wide": 0.0})), q, ratio)
+        assert len(set(zip(*a[:2], strict=True)) & set(zip(*b[:2], strict=True))) >= 0.97 * len(b[0])
+
+
+def test_shards_find_what_brute_force_finds():
+    """Exact within the lists in reach, with many equal vectors, far from the origin, lists longer than a product takes."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(5000, 8)), np.repeat(rng.normal(size=(2, 8)), 400, axis=0)]).astype(np.float32) + np.float32(50)
+    rng.shuffle(x)
+    ids = np.arange(len(x)) * 3
+    graph = ann.Graph.build(x[:2].copy())
+    lists = ann.squared(x, graph.centroids).argmin(axis=1)
+    order = np.lexsort((ids, lists))
+    shard = ann.Shard(graph, lists[order], ids[order], x[order].copy(), 5)
+    assert len(shard.ids) < 5100
+    q = rng.integers(0, len(x), 300)
+    row, near, d = shard.find(ids[q], x[q], np.full(300, np.inf))
+    far = ((x[q].astype(np.float64)[:, None] - x[None]) ** 2).sum(axis=2)
+    far[np.arange(300), q] = np.inf
+    want = [np.lexsort((ids, r))[:5] for r in far]
+    assert (near.reshape(300, 5) == ids[want]).all() and np.allclose(d.reshape(300, 5), np.take_along_axis(far, np.array(want), axis=1))
+
+
 # --- scratch
 
 
