@@ -729,6 +729,16 @@ def test_shards_find_what_brute_force_finds():
     assert (near.reshape(300, 5) == ids[want]).all() and np.allclose(d.reshape(300, 5), np.take_along_axis(far, np.array(want), axis=1))
 
 
+def test_sparse_vectors_among_dense_ones_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_SIZE", 32)
+    rng = np.random.default_rng(4)
+    dense = np.repeat(rng.normal(size=(20, 32)), 100, axis=0) + rng.normal(size=(2000, 32)) / 20
+    x = np.concatenate([dense, rng.normal(size=(150, 32))]).astype(np.float32)
+    got = ann.neighbours(vectors(spark, x)).toPandas().groupby("vec_id")["neighbour_id"].apply(set)
+    recall = np.array([len(got[i] & set(t)) / 10 for i, t in enumerate(exact(x, 10))])
+    assert recall[:2000].mean() >= 0.9 and recall[2000:].mean() >= 0.9
+
+
 def test_queries_are_the_ids_divisible_by_fifty(spark, sf):
     from tidelog.llm import queries
 

@@ -6,14 +6,16 @@ list and, if it lies near a boundary (within ``1 + BOUNDARY`` times the least di
 centroid is nearer to that of a list that it is in than to the vector: that list lies in the same direction and is read with the first.
 Lists longer than ``PART_SIZE`` are stored in parts.
 
-A query visits the lists whose centroids are within ``1 + ratio`` times the least distance, in all of their parts, and more where those hold too few
-vectors.  The centroids are searched through an in-memory neighbour graph, entered at the best of its pivots and expanded while nodes lie within the ratio, or,
+A query visits the lists whose centroids are within ``1 + ratio`` times the distance of the list with which its nearest lists hold more than k vectors (so a
+vector that is a list by itself looks beyond it), in all of their parts, and more where those hold too few vectors.  The centroids are searched through an in-memory neighbour graph, entered at the best of its pivots and expanded while nodes lie within the ratio, or,
 where they are few or the ratio takes in so many that the walk costs more, by a product with all.  Lists travel to shards, neighbouring lists to the same one; a query
 travels once to each shard that holds a list of its, not once to each list, and leaves it with its ``k`` best.  In a shard a list is skipped where its radius
 proves that it holds nothing nearer.  Neighbours of all shards are merged, each id once.
 
-The ratio is the least of ``RATIOS`` at which ``PROBES`` queries, whose exact neighbours are found by a scan of all vectors,
-find ``RECALL`` of them: recall is measured on the data at hand, whatever their size and shape.
+Ratios are set for each scale: queries for which that distance is the same but for a factor of 2 ** 0.5.  Of each scale, ``PROBES`` queries (all, if there are no more) have
+their exact neighbours found by a scan of all vectors; the ratio is the least of ``RATIOS`` at which they find ``RECALL`` of them,
+and a share ``RECALL`` of the probes half of their own.  So a few sparse vectors among
+many dense ones are measured by themselves.  This fits the index on a bounded sample, and measures recall against brute force on the data at hand.
 
 Distances are Euclidean.  There are at most ``MOST_CENTROIDS`` centroids, which bounds what is broadcast;
 more vectors than that many lists hold make longer lists, in more parts.
@@ -147,29 +149,30 @@ class Graph:
                 keep(order[edge[k] : edge[k + 1]] // enter, self.node[self.cell[k] : self.cell[k + 1]])
         return node, np.sqrt(dist)
 
-    def within(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def within(self, queries: np.ndarray, ratio: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As ``search``; from the ratio ``wide`` on by a product with all centroids."""
         if ratio < self.wide:
-            return self.search(queries, ratio)
+            return self.search(queries, ratio, floor)
         found, step = [], max(1, CELLS // len(self.centroids))
+        floor = np.zeros(len(queries), f32) if floor is None else floor.astype(f32)
         for low in range(0, len(queries), step):
             d = np.sqrt(squared(queries[low : low + step], self.centroids))
-            at, node = np.nonzero(d <= d.min(axis=1, keepdims=True) * f32(1 + ratio)) if np.isfinite(ratio) else np.divmod(np.arange(d.size), d.shape[1])
+            at, node = np.nonzero(d <= np.maximum(d.min(axis=1), floor[low : low + step])[:, None] * f32(1 + ratio)) if np.isfinite(ratio) else np.divmod(np.arange(d.size), d.shape[1])
             order = np.lexsort((node, d[at, node], at))
             found.append((at[order] + low, node[order], d[at[order], node[order]]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, f32))
 
-    def search(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, centroid, distance) of centroids within ``1 + ratio`` times the query's least distance, by query and distance.
+    def search(self, queries: np.ndarray, ratio: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, centroid, distance) of centroids within ``1 + ratio`` times the query's least distance (or its ``floor``, if that is more), by query and distance.
 
         As many queries at a time as could look at CELLS centroids.
         """
         step = max(1, CELLS // len(self.centroids))
-        parts = [self._search(queries[low : low + step], ratio) for low in range(0, len(queries), step)]
+        parts = [self._search(queries[low : low + step], ratio, np.zeros(1, f32) if floor is None else floor[low : low + step].astype(f32)) for low in range(0, len(queries), step)]
         at = [a + low for (a, _, _), low in zip(parts, range(0, len(queries), step), strict=True)]
         return (np.concatenate([*at, np.zeros(0, np.int64)]), *(np.concatenate([*(p[i] for p in parts), np.zeros(0, kind)]) for i, kind in ((1, np.int64), (2, f32))))
 
-    def _search(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _search(self, queries: np.ndarray, ratio: float, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The queries walk together; what is kept is one entry for each centroid that a query has looked at."""
         q, n = len(queries), len(self.centroids)
         norms, own = (self.centroids**2).sum(axis=1), (queries**2).sum(axis=1)
@@ -177,7 +180,7 @@ class Graph:
         key, dist = (np.arange(q)[:, None] * n + self.pivots).ravel(), start.ravel()
         opened, best = np.zeros(len(key), dtype=bool), start.min(axis=1)
         widest = 1 + ratio if np.isfinite(ratio) else np.inf
-        within = lambda: dist <= (best * f32(widest))[key // n] if np.isfinite(widest) else np.ones(len(key), dtype=bool)
+        within = lambda: dist <= (np.maximum(best, floor) * f32(widest))[key // n] if np.isfinite(widest) else np.ones(len(key), dtype=bool)
         enter = min(ENTRIES, len(self.pivots))  # the nearest pivots, then their surroundings
         frontier = np.sort((np.arange(q)[:, None] * len(self.pivots) + np.argpartition(start, enter - 1, axis=1)[:, :enter]).ravel())
         while len(frontier):
@@ -300,17 +303,17 @@ def posted(vectors: DataFrame, graph) -> DataFrame:  # noqa: ANN001
     return written(tx.map_batches(vectors.select("id", "v"), post, "list int, first boolean, id long, v array<float>"), "postings")
 
 
-def visited(graph: Graph, x: np.ndarray, ratio: np.ndarray, size: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, list) that each query reads, and the distance up to which it does.  Lists of ``size`` vectors that hold fewer than ``need`` in all are read with a wider ratio."""
+def visited(graph: Graph, x: np.ndarray, ratio: np.ndarray, away: np.ndarray, size: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list) that each query reads, those within ``1 + ratio`` times ``away``, and the distance up to which it does.  Lists of ``size`` vectors that hold fewer than ``need`` in all are read with a wider ratio."""
     reach, rows, lists = np.zeros(len(x)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     ratio, left = np.array(ratio, dtype=np.float64), np.arange(len(x))
     while len(left):
         few = []
         for r in np.unique(ratio[left]):
             own = left[ratio[left] == r]
-            at, node, dist = graph.within(x[own], r)
+            at, node, dist = graph.within(x[own], r, away[own])
             full = (np.bincount(at, weights=size[node], minlength=len(own)) >= need) | ~np.isfinite(r)
-            reach[own] = np.inf if not np.isfinite(r) else dist[np.searchsorted(at, np.arange(len(own)))] * (1 + r) * (1 + 1e-6)
+            reach[own] = np.inf if not np.isfinite(r) else np.maximum(dist[np.searchsorted(at, np.arange(len(own)))], away[own]) * (1 + r) * (1 + 1e-6)
             rows.append(own[at[full[at]]])
             lists.append(node[full[at]])
             ratio[own[~full]] = 2 * r if r < 4 else np.inf
@@ -319,12 +322,20 @@ def visited(graph: Graph, x: np.ndarray, ratio: np.ndarray, size: np.ndarray, ne
     return np.concatenate(rows), np.concatenate(lists), reach
 
 
-SCALES = 1
+SCALES = 121
 
 
-def scale(graph: Graph, x: np.ndarray) -> np.ndarray:
-    """Number of the scale of each query: there is one."""
-    return np.zeros(len(x), dtype=np.int64)
+def distance(graph: Graph, x: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """From each query to the list with which its nearest lists hold more than k vectors (of NEAR lists, the last)."""
+    node, dist = graph.nearest(x)
+    enough = np.cumsum(size[node], axis=1) > k
+    return dist[np.arange(len(x)), np.where(enough.any(axis=1), enough.argmax(axis=1), np.isfinite(dist).sum(axis=1) - 1)]
+
+
+def scale(away: np.ndarray) -> np.ndarray:
+    """Number of the scale of each query, by its ``distance``."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(2 * np.log2(away.astype(np.float64))), -60, 60).astype(np.int64) + 60
 
 
 def exact(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -347,8 +358,9 @@ def exact(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> l
     return [(r.q, n) for r in top.select("q", "top.near").collect() for n in r.near]
 
 
-def probes(queries: DataFrame, graph) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """ids and vectors of the PROBES queries (id, v) of each scale whose ids hash lowest.  ``graph``: a broadcast."""
+def probes(queries: DataFrame, graph: Graph, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of the PROBES queries (id, v) of each scale whose ids hash lowest."""
+    shared = queries.sparkSession.sparkContext.broadcast((graph, size))
 
     def lowest(key: np.ndarray, h: np.ndarray) -> np.ndarray:
         order = np.lexsort((h, key))
@@ -358,7 +370,7 @@ def probes(queries: DataFrame, graph) -> tuple[np.ndarray, np.ndarray]:  # noqa:
         key, ids, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in gathered(batches):
             own = batch.column(0).to_numpy()
-            key, ids, h = np.append(key, scale(graph.value, matrix(batch.column(1)))), np.append(ids, own), np.append(h, tx.mix(own.astype(np.uint64)))
+            key, ids, h = np.append(key, scale(distance(shared.value[0], matrix(batch.column(1)), shared.value[1], k))), np.append(ids, own), np.append(h, tx.mix(own.astype(np.uint64)))
             keep = lowest(key, h)
             key, ids, h = key[keep], ids[keep], h[keep]
         yield pa.record_batch([pa.array(key), pa.array(ids)], names=["scale", "id"])
@@ -374,7 +386,7 @@ def chosen(vectors: DataFrame, ids: np.ndarray) -> DataFrame:
 
 
 def calibrate(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, graph: Graph, size: np.ndarray, k: int) -> np.ndarray:
-    """For each scale, the least ratio of RATIOS that finds RECALL of the exact neighbours of its probes; sets ``graph.wide``."""
+    """For each scale, the least ratio of RATIOS that finds RECALL of the exact neighbours of its probes, and half of its own for a share RECALL of them; sets ``graph.wide``."""
     ratios = np.full(SCALES, np.inf)
     pairs = np.array(exact(vectors, queries, ids, k), dtype=np.int64).reshape(-1, 2)
     near_ids, near = arrays(chosen(vectors, pairs[:, 1]))  # k for each probe at most
@@ -388,15 +400,17 @@ def calibrate(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, graph: G
     place = np.searchsorted(near_ids, pairs[:, 1])
     first, copies = np.searchsorted(at, place), np.bincount(at, minlength=len(near))[place]
     pair, where = np.repeat(np.arange(len(pairs)), copies), node[tx.ranges(first, copies)]
-    of = scale(graph, queries)
+    away = distance(graph, queries, size, k)
+    of = scale(away)
     open_ = np.unique(of)
     for ratio in RATIOS:
         probe = np.flatnonzero(np.isin(of, open_))
-        row, read, _ = visited(graph, queries[probe], np.full(len(probe), ratio), size, REPLICAS * (k + 1))
+        row, read, _ = visited(graph, queries[probe], np.full(len(probe), ratio), away[probe], size, REPLICAS * (k + 1))
         hit = np.bincount(pair, weights=np.isin(pairs[pair, 0] * lists + where, probe[row] * lists + read), minlength=len(pairs)) > 0
         for s in open_:
             own = of[pairs[:, 0]] == s
-            if own.any() and hit[own].mean() >= RECALL:
+            found, of_each = np.bincount(pairs[own, 0], weights=hit[own]), np.bincount(pairs[own, 0])
+            if own.any() and hit[own].mean() >= RECALL and (2 * found >= of_each)[of_each > 0].mean() >= RECALL:
                 ratios[s] = ratio
                 open_ = open_[open_ != s]
         if not len(open_):
@@ -548,7 +562,7 @@ def neighbours(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
         size[r["list"]] = r["count"]
     base = postings.where("first").select("id", "v")
     queries = base.where(F.pmod("id", F.lit(every)) == 0)
-    ids, x = probes(queries, first)
+    ids, x = probes(queries, graph, size, k)
     if not len(ids):
         return spark.createDataFrame([], SCHEMA)
     ratios, need = calibrate(base, ids, x, graph, size, k), REPLICAS * (k + 1)
@@ -559,7 +573,8 @@ def neighbours(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
         graph, ratios, size, edge, shard = shared.value
         for batch in gathered(batches):
             x = matrix(batch.column(1))
-            at, node, reach = visited(graph, x, ratios[scale(graph, x)], size, need)
+            away = distance(graph, x, size, k)
+            at, node, reach = visited(graph, x, ratios[scale(away)], away, size, need)
             lengths = np.diff(edge)[node]
             to = np.unique(np.repeat(at, lengths) * parts + shard[tx.ranges(edge[node], lengths)])
             for low in range(0, len(to), ROWS):
