@@ -12,6 +12,7 @@ Mining is sequential by nature: what a line matches depends on the lines before
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,17 +36,62 @@ class DrainParams:
     max_children: int = 100
 
 
-@dataclass
+#: Leaves of more clusters than this find candidates by their tokens instead of comparing all.
+FEW = 8
+
+
 class Cluster:
-    number: int
-    tokens: list[str]
-    size: int = 0
+    __slots__ = ("number", "tokens", "size", "wild", "text")
+
+    def __init__(self, number: int, tokens: list[str], size: int = 0):
+        self.number, self.size = number, size
+        self.take(tokens)
+
+    def take(self, tokens: list[str]) -> None:
+        self.tokens, self.wild, self.text = tokens, tokens.count(WILD), " ".join(tokens)
 
 
 @dataclass
 class Node:
     children: dict[str, Node] = field(default_factory=dict)
     clusters: list[Cluster] = field(default_factory=list)
+    #: by place, the clusters (their places in ``clusters``) that have a token there; filled where there are more than FEW
+    places: list[dict[str, list[int]]] = field(default_factory=list)
+
+    def put(self, cluster: Cluster) -> None:
+        self.clusters.append(cluster)
+        if self.places:
+            self._post(len(self.clusters) - 1)
+        elif len(self.clusters) > FEW:
+            self.places = [{} for _ in cluster.tokens]
+            for i in range(len(self.clusters)):
+                self._post(i)
+
+    def _post(self, i: int) -> None:
+        for place, token in zip(self.places, self.clusters[i].tokens, strict=True):
+            if token != WILD:
+                place.setdefault(token, []).append(i)
+
+    def widen(self, cluster: Cluster, tokens: list[str]) -> None:
+        """The cluster's tokens become ``tokens``, some of them wild now."""
+        if self.places:
+            i = self.clusters.index(cluster)
+            for place, old, new in zip(self.places, cluster.tokens, tokens, strict=True):
+                if old != new:
+                    place[old].remove(i)
+                    if not place[old]:
+                        del place[old]
+        cluster.take(tokens)
+
+    def candidates(self, tokens: list[str], least: int) -> list[Cluster]:
+        """In their order, all clusters that have ``least`` tokens in common with the message, and some others.
+
+        Such a cluster misses at most n - least of the n tokens, so it has one of any n - least + 1; those that the fewest clusters have are looked up.
+        """
+        if not self.places or least < 1:
+            return self.clusters
+        having = sorted([place.get(token, ()) for place, token in zip(self.places, tokens, strict=True)], key=len)
+        return [self.clusters[i] for i in sorted(set().union(*having[: len(tokens) - least + 1]))]
 
 
 class Miner:
@@ -53,10 +99,12 @@ class Miner:
 
     def __init__(self, params: DrainParams = DrainParams(), clusters: list[tuple[int, list[str], int]] | None = None):
         self.params, self.root, self.clusters = params, {}, []
+        self.least: dict[int, int] = {}
+        self.changes = 0  # of clusters and of the tree; while there is none, a message has the cluster that it had
         for number, tokens, size in sorted(clusters or []):
             cluster = Cluster(number, list(tokens), size)
             self.clusters.append(cluster)
-            self._leaf(cluster.tokens, create=True).clusters.append(cluster)
+            self._leaf(cluster.tokens, create=True).put(cluster)
 
     def _leaf(self, tokens: list[str], create: bool) -> Node | None:
         node = self.root.get(len(tokens))
@@ -80,22 +128,30 @@ class Miner:
         name = WILD if any(c.isdigit() for c in token) or room <= 0 else token
         return node.children.setdefault(name, Node())
 
+    def _least(self, n: int) -> int:
+        """How many of n tokens make a message similar."""
+        if n not in self.least:
+            self.least[n] = next((i for i in range(n + 1) if i / n >= self.params.similarity), n + 1) if n else 0
+        return self.least[n]
+
     def add(self, message: str) -> Cluster:
         """The cluster of the message, after it has taken the message in."""
         tokens = message.split()
         leaf = self._leaf(tokens, create=False)
-        best, score = None, (-1.0, -1)
-        for cluster in leaf.clusters if leaf else ():
-            same = sum(a == b for a, b in zip(cluster.tokens, tokens, strict=True) if a != WILD)
-            rank = (same / len(tokens) if tokens else 1.0, sum(a == WILD for a in cluster.tokens))
+        own = [None if t == WILD else t for t in tokens] if WILD in tokens else tokens  # a wild token equals none
+        best, score, least = None, (-1, -1), self._least(len(tokens))
+        for cluster in leaf.candidates(own, least) if leaf else ():
+            rank = (sum(map(operator.eq, cluster.tokens, own)), cluster.wild)
             if rank > score:
                 best, score = cluster, rank
-        if best is None or score[0] < self.params.similarity:
-            best = Cluster(max((c.number for c in self.clusters), default=0) + 1 if not self.clusters else self.clusters[-1].number + 1, tokens)
+        if best is None or (score[0] < least if tokens else self.params.similarity > 1):
+            best = Cluster(self.clusters[-1].number + 1 if self.clusters else 1, tokens)
             self.clusters.append(best)
-            self._leaf(tokens, create=True).clusters.append(best)
-        else:
-            best.tokens = [a if a == b else WILD for a, b in zip(best.tokens, tokens, strict=True)]
+            self._leaf(tokens, create=True).put(best)
+            self.changes += 1
+        elif score[0] + best.wild < len(tokens):
+            leaf.widen(best, [a if a == b else WILD for a, b in zip(best.tokens, own, strict=True)])
+            self.changes += 1
         best.size += 1
         return best
 
@@ -120,7 +176,7 @@ def mine(log: DataFrame, params: DrainParams = DrainParams(), state: DataFrame |
                     current, miner = (s, n), Miner(params, known)
                 cluster = miner.add(text) if isinstance(text, str) else None
                 ids.append(cluster.number if cluster else None)
-                names.append(" ".join(cluster.tokens) if cluster else None)
+                names.append(cluster.text if cluster else None)
             yield batch.assign(__own=pd.Series(ids, index=batch.index, dtype="Int64"), template=names)
 
     placed = rows.repartition("__source", "__n").sortWithinPartitions("__source", "__n", "line_no")
