@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidelog.operators import autoencoder as ae
+from tidelog.operators import lstm
 from tidelog.operators import windows as win
 
 
@@ -21,6 +22,15 @@ def test_autoencoder_scorer_is_its_forward_pass():
     assert len(model.errors(x[:0])) == 0
 
 
+def test_lstm_scorer_is_its_forward_pass():
+    rng = np.random.default_rng(0)
+    model = lstm.LSTM(11, lstm.LSTMParams(16, 24))
+    model.weights = [w * 3 for w in model.weights]
+    x = rng.integers(0, 11, (70, 50))
+    want, got = model.forward(x)[0], model.scorer(32)(x)
+    assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-4) and len(model.scorer()(x[:0])) == 0
+
+
 def test_sequences_are_scored_once(spark, sf, monkeypatch):
     from tidelog.plans import catalog
 
