@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import windows as win
+from .tables import written
 
 
 @dataclass(frozen=True)
@@ -113,26 +114,38 @@ def infer_top_p(pairs: DataFrame, model: DataFrame, p: float) -> DataFrame:
 def with_sessions(rows: DataFrame, timeout: float = 300.0, entity: str = "host") -> DataFrame:
     """Adds ``session_no`` (from 0 per entity) and ``session_id``: a session ends when an entity is silent for more than ``timeout`` seconds.
 
-    A null timestamp makes no gap.
+    A null timestamp makes no gap.  Gaps are found and counted in blocks of an entity's positions, and shifted by those of the blocks before.
     """
-    by = W.partitionBy(entity).orderBy(*win.in_order())
+    key = (entity,)
     t = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    gap = (t - F.lag(t).over(by)) / 1e6 > timeout
-    number = F.sum(F.coalesce(gap.cast("int"), F.lit(0))).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("session_no", number.cast("long")).withColumn("session_id", session_id(F.col(entity), F.col("session_no")))
+    near = win.neighbourhood("__pos", key)
+    blocks = win.with_blocks(win.with_position(written(rows, "verdicts"), "__pos", key), "__pos", 1, 0)
+    gap = F.coalesce(((t - F.lag(t).over(near)) / 1e6 > timeout).cast("int"), F.lit(0))
+    own = blocks.withColumn("__gap", gap).where("__core").withColumn("__inside", F.sum("__gap").over(near.rowsBetween(W.unboundedPreceding, 0)))
+    own = written(own.select(*rows.columns, "__block", "__gap", "__inside"), "gaps")
+    before = W.partitionBy("__e").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    totals = own.groupBy(F.col(entity).alias("__e"), F.col("__block").alias("__at")).agg(F.sum("__gap").alias("__n"))
+    offsets = totals.select("__e", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    numbered = own.join(offsets, F.col(entity).eqNullSafe(F.col("__e")) & (F.col("__block") == F.col("__at"))).withColumn("session_no", (F.col("__o") + F.col("__inside")).cast("long"))
+    return numbered.select(*rows.columns, "session_no").withColumn("session_id", session_id(F.col(entity), F.col("session_no")))
 
 
 def k_of_n(verdicts: DataFrame, k: int = 7, n: int = 10, entity: str = "host") -> DataFrame:
-    """Adds ``k_of_n_triggered``: the row fails, and so do at least k of the session's last n rows, once it has n."""
-    by = W.partitionBy(entity, "session_no").orderBy(*win.in_order())
+    """Adds ``k_of_n_triggered``: the row fails, and so do at least k of the session's last n rows, once it has n.
+
+    Like sessions, in blocks of an entity's positions: no task holds a whole entity or session.
+    """
+    key = (entity, "session_no")
     failed = F.when(F.col("prediction_ok"), 0).otherwise(1)
-    recent = by.rowsBetween(-(n - 1), 0)
-    return verdicts.withColumns(
+    recent = win.neighbourhood("__pos", key).rowsBetween(-(n - 1), 0)
+    blocks = win.with_blocks(win.with_position(verdicts, "__pos", key), "__pos", n - 1, 0)
+    found = blocks.withColumns(
         {
-            "k_of_n_triggered": (F.sum(failed).over(recent) >= k) & (F.row_number().over(by) >= n) & ~F.col("prediction_ok"),
+            "k_of_n_triggered": (F.sum(failed).over(recent) >= k) & (F.col("__pos") >= n - 1) & ~F.col("prediction_ok"),
             "recent_failures": F.collect_list(~F.col("prediction_ok")).over(recent),
         }
     )
+    return found.where("__core").drop("__pos", "__block", "__core")
 
 
 def cooled(candidates: DataFrame, cooldown: Column) -> DataFrame:
@@ -169,7 +182,7 @@ def alerts(verdicts: DataFrame, config: AlertConfig = AlertConfig()) -> tuple[Da
     Detail carries sessions and K-of-N per row; alerts those that survive their cooldown.
     """
     e = config.entity
-    detail = k_of_n(with_sessions(verdicts, config.session_timeout, e), config.k, config.n, e)
+    detail = written(k_of_n(with_sessions(verdicts, config.session_timeout, e), config.k, config.n, e), "detail")
     common = ["line_no", "timestamp", F.col(e).alias("entity"), "session_id", "recent_failures"]
     fails = detail.where("k_of_n_triggered").select(*common, F.lit("SEQ_FAIL").alias("alert_type"), F.lit(None).cast("string").alias("template_id"), "target", "is_novel")
     novel = detail.where("is_novel").select(*common, F.lit("NOVELTY").alias("alert_type"), F.col("template").alias("template_id"), "target", "is_novel")
