@@ -19,21 +19,43 @@ STATE = "buffer array<long>, seen long"
 UNKNOWN, VIOLATION, NORMAL = 0.8, 0.9, 0.1
 
 
-def _contexts(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-    buffer, seen = state.get if state.exists else ([], 0)
-    rows = pd.concat(list(batches)).sort_values(["timestamp", "line_no"], kind="stable", na_position="first", ignore_index=True)
-    known = rows["template_index"].notna().to_numpy()
-    values = np.concatenate([np.array(list(buffer), dtype=np.int64), rows["template_index"][known].to_numpy(dtype=np.int64)])
-    before = np.cumsum(known) - known  # known lines of this batch before each
-    at = len(buffer) + before
+#: Rows of a key that leave Python at a time.
+SLICE = 50_000
+#: A null line number, which comes first.
+NONE = -(1 << 63)
 
-    def back(steps: int) -> pd.Series:
-        there = at >= steps
-        return pd.Series(np.append(values, 0)[np.where(there, at - steps, -1)], dtype="Int64").where(there)
 
+def _contexts(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    """Of a key's rows in this micro-batch, only plain numbers are held (time, line, template: 25 bytes a row, and their order); frames come and go in slices."""
+    buffer, seen = state.get if state.exists else ([], 0)
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        fine = batch["template_index"].notna().to_numpy()
+        times = batch["timestamp"].to_numpy(dtype="datetime64[us]").astype(np.int64)  # NaT is the least number, so it comes first
+        kept.append([times, batch["line_no"].astype("Int64").fillna(NONE).to_numpy(dtype=np.int64), batch["template_index"].fillna(0).to_numpy(dtype=np.int64), fine])
+        del batch
+    time, line, index, known = (np.concatenate([p.pop(0) for p in kept]) for _ in range(4))
+    order = np.lexsort((line, time))
+    values = np.concatenate([np.array(list(buffer), dtype=np.int64), index[order][known[order]]])
+    place = len(buffer)  # of the next known row in values
+    for low in range(0, len(order), SLICE):
+        rows = order[low : low + SLICE]
+        fine = known[rows]
+        before = np.cumsum(fine) - fine  # known rows of this slice before each
+        at = place + before
+
+        def back(steps: int) -> pd.Series:
+            there = at >= steps
+            return pd.Series(values[np.where(there, at - steps, 0)] if len(values) else at, dtype="Int64").where(there)
+
+        yield pd.DataFrame(
+            {
+                "key": key[0], "line_no": pd.Series(line[rows], dtype="Int64").where(line[rows] != NONE), "timestamp": pd.Series(time[rows].view("datetime64[us]")).astype("datetime64[ns]"),
+                "template_index": pd.Series(index[rows], dtype="Int64").where(fine), "c2": back(2), "c1": back(1), "seen": seen + at - len(buffer),
+            }
+        )
+        place += int(fine.sum())
     state.update((values[-2:].tolist(), int(seen + known.sum())))
-    index = pd.Series(rows["template_index"].to_numpy(), dtype="Int64")
-    yield pd.DataFrame({"key": key[0], "line_no": rows["line_no"], "timestamp": rows["timestamp"], "template_index": index, "c2": back(2), "c1": back(1), "seen": seen + before})
 
 
 def contexts(lines: DataFrame) -> DataFrame:
