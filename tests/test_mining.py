@@ -48,3 +48,22 @@ def test_dissimilar_messages_stay_fast():
     for text in texts:
         miner.add(text)
     assert len(miner.clusters) > 5900 and time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("size", [16, 4096])
+def test_repeated_messages_are_one_row(spark, monkeypatch, size):
+    """Snapshots of templates, late merges, literal wild tokens and sources, against a miner that reads line by line; no task gets a row per line."""
+    monkeypatch.setattr(drain, "CHUNK", size)
+    rng = np.random.default_rng(7)
+    words = np.array(["<*>", "n7", *[f"w{chr(97 + i)}" for i in range(6)]])
+    pool = [" ".join(words[np.minimum(rng.geometric(0.3, int(n)) - 1, 7)]) for n in rng.choice([0, 1, 3, 4, 5], 60)]
+    lines = [(i, ["x", "", None][i % 3], pool[int(min(rng.geometric(0.06) - 1, 59))] if i % 50 else None) for i in range(1500)]
+    df = spark.createDataFrame(lines, "line_no long, host string, masked string").repartition(5)
+    got = {r.line_no: (r.template_id, r.template) for r in drain.mine(df, source="host").collect()}
+    miners = {h: drain.Miner() for h in ("x", "", None)}
+    for i, host, text in lines:
+        cluster = miners[host].add(text) if text is not None else None
+        assert got[i] == (cluster and str(cluster.number), cluster and cluster.text)
+    calls = [("a b c", np.arange(1000)), ("a b d", np.array([500, 700]))]
+    rows = list(drain.mined_chunk(drain.Miner(), calls))
+    assert rows == [("a b c", [0, 501], [1, 1], ["a b c", "a b <*>"]), ("a b d", [500], [1], ["a b <*>"])]

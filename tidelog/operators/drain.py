@@ -16,11 +16,11 @@ import operator
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tables import written
 
@@ -29,6 +29,12 @@ WILD = "<*>"
 BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
+#: Line numbers whose repeated messages are one row for the miner.
+CHUNK = 1 << 12
+#: Stands for a null line number, which comes first.
+FIRST = -(1 << 63)
+
+
 @dataclass(frozen=True)
 class DrainParams:
     depth: int = 4
@@ -164,29 +170,86 @@ def mine(log: DataFrame, params: DrainParams = DrainParams(), state: DataFrame |
     known = [(r.cluster_id, list(r.tokens), r.size) for r in state.collect()] if state is not None else []  # a row per template
     base = max((k[0] for k in known), default=0)
     plain = log.drop("template_id", "template")
-    rows = plain.withColumns({"__source": F.col(source) if source else F.lit(""), "__n": F.size(F.array_remove(F.split("masked", BLANK), ""))})
-    schema = T.StructType([*rows.schema.fields, T.StructField("__own", T.LongType()), T.StructField("template", T.StringType())])
+    chunk = F.coalesce(F.floor(F.col("line_no") / CHUNK), F.lit(-(1 << 62)))
+    # a null source is a source of its own; it keeps apart from an empty one
+    named = plain.withColumns({"__source": F.col(source).cast("string") if source else F.lit(""), "__chunk": chunk})
+    rows = written(named, "lines")
+    line = F.coalesce("line_no", F.lit(FIRST)).cast("long")
+    lists = rows.where("masked is not null").groupBy("__source", "__chunk", "masked").agg(F.sort_array(F.collect_list(line)).alias("__lines"))
+    once = lists.withColumns({"__n": F.size(F.array_remove(F.split("masked", BLANK), "")), "__at": F.col("__lines")[0]})
+    schema = "__source string, __n int, __chunk long, masked string, __from array<long>, __own array<long>, __template array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, miner = None, Miner(params, known)
+        current, miner, pending = None, Miner(params, known), []
+        out: list[tuple] = []
+
+        def flushed() -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame(out, columns=["__source", "__n", "__chunk", "masked", "__from", "__own", "__template"])
+            out.clear()
+
         for batch in batches:
-            ids, names = [], []
-            for s, n, text in zip(batch["__source"], batch["__n"], batch["masked"], strict=True):
-                if (s, n) != current:
-                    current, miner = (s, n), Miner(params, known)
-                cluster = miner.add(text) if isinstance(text, str) else None
-                ids.append(cluster.number if cluster else None)
-                names.append(cluster.text if cluster else None)
-            yield batch.assign(__own=pd.Series(ids, index=batch.index, dtype="Int64"), template=names)
-
-    placed = rows.repartition("__source", "__n").sortWithinPartitions("__source", "__n", "line_no")
-    mined = written(placed.mapInPandas(run, schema), "mined")
+            for s, n, c, text, lines in zip(batch["__source"], batch["__n"], batch["__chunk"], batch["masked"], batch["__lines"], strict=True):
+                if (s, n, c) != current:
+                    out += [(*current, *found) for found in mined_chunk(miner, pending)] if pending else []
+                    if current is None or (s, n) != current[:2]:
+                        miner = Miner(params, known)
+                    current, pending = (s, n, c), []
+                    if len(out) > 2000:
+                        yield from flushed()
+                pending.append((text, lines))
+        out += [(*current, *found) for found in mined_chunk(miner, pending)] if pending else []
+        yield from flushed()
+
+    placed = once.repartition("__source", "__n").sortWithinPartitions("__source", "__n", "__chunk", "__at", "masked")
+    runs = written(placed.select("__source", "__n", "__chunk", "masked", "__lines").mapInPandas(run, schema), "mined")
+    each = runs.select("__source", "__n", F.explode(F.arrays_zip(F.col("__from").alias("f"), F.col("__own").alias("o"))).alias("r"))
     key = ["__source", "__n", "__own"]
-    fresh = mined.where(F.col("__own") > base).groupBy(*key).agg(F.min("line_no").alias("__first"))
+    fresh = each.select("__source", "__n", F.col("r.o").alias("__own"), F.col("r.f").alias("__f")).where(F.col("__own") > base).groupBy(*key).agg(F.min("__f").alias("__first"))
     number = F.row_number().over(W.partitionBy("__source").orderBy("__first", "__n", "__own")) + base
-    numbers = fresh.select(*[F.col(c).alias(f"{c}_") for c in key], number.alias("__number"))
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]
-    return mined.join(numbers, same, "left").select(*plain.columns, F.coalesce("__number", "__own").cast("string").alias("template_id"), "template")
+    numbers = fresh.select(*key, number.cast("long").alias("__number"))
+    text = [F.col("__source").alias("__s"), F.col("__chunk").alias("__c"), F.col("masked").alias("__m")]
+    at = F.greatest(F.size(F.filter("__from", lambda f: f <= line)), F.lit(1)) - 1
+    same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__chunk") == F.col("__c")) & (F.col("masked") == F.col("__m"))
+    mined = rows.join(runs.select(*text, "__n", "__from", "__own", "__template"), same, "left")
+    mined = mined.withColumns({"template": F.col("__template")[at], "__own": F.col("__own")[at]}).drop("__from", "__template", "__s", "__c", "__m")
+    again = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key]
+    named = mined.join(numbers.select(*[F.col(c).alias(f"{c}_") for c in key], "__number"), again, "left")
+    return named.select(*plain.columns, F.coalesce("__number", "__own").cast("string").alias("template_id"), "template")
+
+
+def mined_chunk(miner: Miner, messages: list[tuple[str, np.ndarray]]) -> Iterator[tuple[str, list[int], list[int], list[str]]]:
+    """(message, from, cluster, template): of each message of a chunk (with its line numbers), the clusters that it had and the lines from which it had them.
+
+    As if all lines were read in order.  While neither a cluster nor the tree changes, a message has the cluster that it had, so it is only looked at again after a change.
+    """
+    found: list[tuple[list[int], list[int], list[str]]] = [([], [], []) for _ in messages]
+
+    def note(i: int, line: int, cluster: Cluster) -> None:
+        start, own, text = found[i]
+        if not own or own[-1] != cluster.number or text[-1] != cluster.text:
+            start.append(int(line))
+            own.append(cluster.number)
+            text.append(cluster.text)
+
+    changes, rest = miner.changes, None
+    for i, (message, lines) in enumerate(messages):  # in the order of first lines
+        note(i, lines[0], miner.add(message))
+        if miner.changes != changes and any(len(m[1]) > 1 for m in messages):
+            rest = i  # what follows the change is read line by line
+            break
+    if rest is not None:
+        numbers = np.repeat(np.arange(len(messages)), [len(m[1]) for m in messages])
+        lines = np.concatenate([m[1] for m in messages])
+        order = np.lexsort((numbers, lines))
+        last = int(np.flatnonzero((numbers[order] == rest))[0])
+        seen = [-1] * len(messages)
+        for j in order[last + 1 :].tolist():
+            i = int(numbers[j])
+            if seen[i] != miner.changes:
+                changes = miner.changes
+                note(i, lines[j], miner.add(messages[i][0]))
+                seen[i] = changes  # out of date if this message made a change
+    return ((m[0], *f) for m, f in zip(messages, found, strict=True))
 
 
 def clusters(mined: DataFrame) -> DataFrame:
